@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from cladeworks.llm.fingerprints import op2_fingerprints
+from cladeworks.llm.language_id import op4_language_id
 from cladeworks.llm.line_dedup import OP6_SQL, op6_line_dedup
 from cladeworks.llm.packing import op7_packing
+from cladeworks.llm.simhash_dedup import op8_simhash_dedup
 from cladeworks.llm.token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_line_dedup, op7_packing)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_token_files, op4_language_id, op6_line_dedup, op7_packing, op8_simhash_dedup)}
 ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
