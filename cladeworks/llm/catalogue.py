@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from cladeworks.llm.decontamination import op10_decontamination
 from cladeworks.llm.fingerprints import op2_fingerprints
+from cladeworks.llm.kneser_ney import op9_kneser_ney
 from cladeworks.llm.language_id import op4_language_id
 from cladeworks.llm.line_dedup import OP6_SQL, op6_line_dedup
 from cladeworks.llm.packing import op7_packing
@@ -11,5 +13,5 @@ from cladeworks.llm.revisits import OP5_SQL, op5_revisits
 from cladeworks.llm.simhash_dedup import op8_simhash_dedup
 from cladeworks.llm.token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_fingerprints, op3_token_files, op4_language_id, op5_revisits, op6_line_dedup, op7_packing, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_fingerprints, op3_token_files, op4_language_id, op5_revisits, op6_line_dedup, op7_packing, op8_simhash_dedup, op9_kneser_ney, op10_decontamination)}
 ORACLE_SQL = {"op5_revisits": OP5_SQL, "op6_line_dedup": OP6_SQL}
