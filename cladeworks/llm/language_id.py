@@ -93,7 +93,7 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     return profiles
 
 
-def _predict(profiles: dict[str, list[int]]):
+def _predict(profiles: dict[str, list[int]], keep_text: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -118,14 +118,14 @@ def _predict(profiles: dict[str, list[int]]):
 
         for b in batches:
             found = [guess(t) for t in b.column("text").to_pylist()]
-            rest = {c: b.column(c) for c in b.schema.names if c != "text"}
+            rest = {c: b.column(c) for c in b.schema.names if keep_text or c != "text"}
             yield pa.record_batch(rest | {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())})
 
     return run
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], *more: str) -> DataFrame:
-    """doc_id, the columns named in ``more``, lang_pred and score for each row, from its whole text alone.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *more: str, keep_text: bool = False) -> DataFrame:
+    """doc_id, the columns named in ``more`` (and text, if it is to be kept), lang_pred and score for each row, from its whole text alone.
 
     A null text, one without a letter, and any text if no language was learned get ``und`` and 0. The score is the
     lead of the nearest language over the second in distance, as a share of the second's (0 for a tie, which goes
@@ -133,8 +133,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *more: str) -> Dat
     """
     rows = texts(docs, *more)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "text")
-    return rows.mapInArrow(_predict(profiles), f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if keep_text or c != "text")
+    return rows.mapInArrow(_predict(profiles, keep_text), f"{schema}, lang_pred string, score double")
 
 
 def held_out() -> Column:
