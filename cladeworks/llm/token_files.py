@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm import tokens
 from cladeworks.llm.common import table, texts
-from cladeworks.session import work_dir
+from cladeworks.session import settle, work_dir
 
 #: Bytes of a row group, rows and bytes of a page: a page is what a selective read fetches.
 ROW_GROUP, PAGE_ROWS, PAGE_BYTES = 32 << 20, 2_000, 256 << 10
+#: Most files whose offsets (12 bytes each) are broadcast; beyond, they are joined.
+MOST_PARTS = 1_000_000
 
 
 def _encode(path: str):
@@ -63,7 +65,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """
     stored = spark.read.schema("doc_id long, part int, start_in_part long, n_tokens long, ids array<int>").parquet(path)
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    parts = settle(stored.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).select("part", F.coalesce(before, F.lit(0)).alias("before")), "parts")
+    if parts.count() <= MOST_PARTS:
+        parts = F.broadcast(parts)
     return stored.join(parts, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", *["ids"] * with_ids)
 
 
