@@ -28,6 +28,7 @@ AROUND = 40
 #: Rounds of scoring; a pattern is taken with this share of known instances among this many distinct ones at least;
 #: an instance is taken from this score on.
 ROUNDS, LEAST_SHARE, LEAST_KNOWN, LEAST_SCORE = 3, 0.6, 5, 0.8
+HIT = "struct<kind:string,i:int,gap:int,found:string,left:string,right:string>"
 
 
 def _hits(kind: str, pattern: str, mark: str) -> Column:
@@ -45,7 +46,7 @@ def _hits(kind: str, pattern: str, mark: str) -> Column:
     )
     digits = F.regexp_instr(text, F.lit("[0-9]")) > 0
     there = digits if not mark else F.contains(text, F.lit(mark)) & (F.lit(True) if mark == "@" else digits)
-    none = F.array().cast("array<struct<kind:string,i:int,gap:int,found:string,left:string,right:string>>")
+    none = F.array().cast(f"array<{HIT}>")
     return F.when(there, rows).otherwise(none)
 
 
@@ -71,9 +72,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     identifiers: those that do not overlap a match of the base that holds. Matches of the base that do not hold are left out.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = F.concat(*(_hits(k, *PATTERNS[k]) for k in KINDS), _hits("token", TOKEN, ""))
+    mark = F.array(F.lit(None)).cast(f"array<{HIT}>")  # so that each document has a row
+    hits = F.concat(mark, *(_hits(k, *PATTERNS[k]) for k in KINDS), _hits("token", TOKEN, ""))
     small = settle(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", hits.alias("hits")), "hits")
-    rows = small.select("row", "doc_id", F.explode_outer("hits").alias("h")).select("row", "doc_id", "h.*")
+    rows = small.select("row", "doc_id", F.explode("hits").alias("h")).select("row", "doc_id", "h.*")
     order = Window.partitionBy("row", "kind").orderBy("i")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum((F.col("gap") + F.length("found")).cast("long")).over(upto)
