@@ -76,12 +76,12 @@ def p_value(f1: Column, f2: Column, f3: Column, n: Column) -> Column:
 
 def plain(x: Column) -> Column:
     """At most four decimals, without zeros at the end."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", F.bround(x, 4)), "0+$", ""), r"\.$", "")
+    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.4f", F.bround(x, 4)), "0+$", ""), r"\.$", ""))
 
 
 def annotation(kind: str, pp: Column, bl: Column, pv: Column, f: list[Column], n: Column) -> Column:
     """Text after a node. kind: posterior, length, both, pvalue, detailed or all; a missing p-value is NA, or NaN in all."""
-    fixed = lambda x, k=4: F.format_string(f"%.{k}f", x.cast("double"))
+    fixed = lambda x, k=4: F.when(x.isNotNull(), F.format_string(f"%.{k}f", x.cast("double")))
     counts = f and [F.lit(";f1="), fixed(f[0], 1), F.lit(";f2="), fixed(f[1], 1), F.lit(";f3="), fixed(f[2], 1), F.lit(";EN="), fixed(n, 1)]
     if kind == "posterior":
         return plain(pp)

@@ -115,13 +115,13 @@ P_VALUE = "CASE WHEN n > 15 THEN exp(-((f1 - n / 3.0) * (f1 - n / 3.0) + (f2 - n
 def taxon_dictionary(spark, sf_dir):
     """Labels that the parsed trees hold, with numbers."""
     trees = derived_trees(spark, sf_dir)
-    return trees.parsed.leaves.select("label").distinct().join(trees.taxa, "label").select("taxon", "label")
+    return trees.leaves.select("label").distinct().join(trees.taxa, "label").select("taxon", "label")
 
 
 @query(LEAVES + " SELECT row_number() OVER (ORDER BY label) - 1 AS taxon, label FROM (SELECT DISTINCT 'T' || lpad(CAST(taxon AS VARCHAR), 2, '0') AS label FROM gene_leaf)")
 def taxon_numbers(spark, sf_dir):
     """Taxa numbered anew in the order of their labels."""
-    return splits.dictionary(derived_trees(spark, sf_dir).parsed.leaves)
+    return splits.dictionary(derived_trees(spark, sf_dir).leaves)
 
 
 @query(LEAVES + " SELECT tree_id, taxon, pos FROM gene_leaf")
@@ -408,8 +408,8 @@ SELECT CASE tree_id % 9 WHEN 1 THEN 'unbalanced' WHEN 2 THEN 'unbalanced' WHEN 3
 def bad_record_counts(spark, sf_dir):
     """Lines by what is wrong with them, where faults were put into two thirds of the derived trees."""
     leaves = derived.gene_leaves(spark, sf_dir)
-    parsed = Collection(derived.with_faults(derived.newick(leaves))).parsed
-    return parsed.status.groupBy("status").agg(F.count("*").alias("n_trees"))
+    status = Collection(derived.with_faults(derived.newick(leaves))).status
+    return status.groupBy("status").agg(F.count("*").alias("n_trees"))
 
 
 @query(LEAVES + " SELECT DISTINCT taxon FROM gene_leaf WHERE tree_id IN (SELECT min(tree_id) FROM gene_leaf UNION SELECT max(tree_id) FROM gene_leaf)")

@@ -39,13 +39,24 @@ class Collection:
         self.lines, self.options, self._taxa = lines, options, taxa
 
     @cached_property
-    def parsed(self) -> newick.Parsed:
-        p = newick.parse(self.lines, self.options.internal_labels)
-        return newick.Parsed(settle(p.tokens, "tokens"), settle(p.status, "status"), settle(p.leaves, "leaves"))
+    def _parsed(self) -> newick.Parsed:
+        return newick.parse(self.lines, self.options.internal_labels)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return settle(self._parsed.tokens, "tokens")
+
+    @cached_property
+    def status(self) -> DataFrame:
+        return settle(self._parsed.status, "status")
+
+    @cached_property
+    def leaves(self) -> DataFrame:
+        return newick.leaves(self.tokens)
 
     @cached_property
     def taxa(self) -> DataFrame:
-        return self._taxa or settle(splits.dictionary(self.parsed.leaves), "taxa")
+        return self._taxa or settle(splits.dictionary(self.leaves), "taxa")
 
     @cached_property
     def n_taxa(self) -> int:
@@ -60,11 +71,11 @@ class Collection:
 
     @cached_property
     def order(self) -> DataFrame:
-        return splits.leaf_order(self.parsed.leaves, self.taxa)
+        return splits.leaf_order(self.leaves, self.taxa)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return settle(splits.node_splits(self.parsed, self.taxa, self.n_taxa), "nodes")
+        return settle(splits.node_splits(self.tokens, self.taxa, self.n_taxa), "nodes")
 
     @cached_property
     def splits(self) -> DataFrame:
@@ -76,7 +87,7 @@ class Collection:
 
     @cached_property
     def root(self) -> DataFrame:
-        return settle(splits.root_cluster(self.nodes, self.parsed.leaves, self.taxa, self.words), "root")
+        return settle(splits.root_cluster(self.nodes, self.leaves, self.taxa, self.words), "root")
 
     @cached_property
     def solved(self) -> DataFrame:
@@ -112,7 +123,7 @@ def infer_species_tree(lines: DataFrame, options: Options = Options()) -> DataFr
         note = support.annotation(options.support, F.col("posterior"), F.col("length"), F.col("p_value"), [F.col(c) for c in ("f1", "f2", "f3")], F.col("n"))
         rows = tree.join(found.select(F.col("branch").alias("u"), note.alias("note")), "u", "left")
     text = dp.newick(rows, trees.taxa, trees.words)
-    top = tree.agg(F.max("score").alias("score")).crossJoin(trees.parsed.status.agg(F.count_if(F.col("status") == "ok").alias("n_trees"))).crossJoin(trees.root.select("is_complete"))
+    top = tree.agg(F.max("score").alias("score")).crossJoin(trees.status.agg(F.count_if(F.col("status") == "ok").alias("n_trees"))).crossJoin(trees.root.select("is_complete"))
     return text.select("newick").crossJoin(top)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
-from cladeworks.sources.newick import Parsed
 
 #: Most taxa (a label and a number each) that are broadcast to every task; beyond, they are joined.
 MOST_TAXA = 1_000_000
@@ -26,14 +25,14 @@ def leaf_order(leaves: DataFrame, taxa: DataFrame) -> DataFrame:
     return leaves.join(_hint(taxa), "label").select("tree_id", "taxon", F.col("pos").cast("long").alias("pos"))
 
 
-def node_splits(parsed: Parsed, taxa: DataFrame, n_taxa: int) -> DataFrame:
+def node_splits(tokens: DataFrame, taxa: DataFrame, n_taxa: int) -> DataFrame:
     """tree_id, start, mid, end, left, right of each internal node: its leaf interval, and its two sides as sets.
 
     A running XOR of single-taxon sets is the set of all leaves so far; a side is the difference of two of these, so
     no leaf is ever joined to a node.
     """
     n = bits.words(n_taxa)
-    own = parsed.tokens.where("tok in ('(', ',', ')') or leaf").join(_hint(taxa), (F.col("tok") == F.col("label")) & F.col("leaf"), "left")
+    own = tokens.where("tok in ('(', ',', ')') or leaf").join(_hint(taxa), (F.col("tok") == F.col("label")) & F.col("leaf"), "left")
     upto = Window.partitionBy("tree_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     none = F.lit(0).cast("long")
     runs = [F.bit_xor(F.coalesce(F.when(F.col("leaf"), w), none)).over(upto).alias(f"x{i}") for i, w in enumerate(bits.singleton(F.col("taxon"), n))]

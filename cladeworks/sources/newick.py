@@ -45,11 +45,15 @@ def write_newick(trees: DataFrame, path: str, mode: str = "error") -> None:
 
 
 class Parsed(NamedTuple):
-    """tokens of all trees; status: tree_id, status ('ok' or why not), n_leaves; leaves: tree_id, pos, label of accepted trees."""
+    """tokens of accepted trees; status of all: tree_id, status ('ok' or why not), n_leaves."""
 
     tokens: DataFrame
     status: DataFrame
-    leaves: DataFrame
+
+
+def leaves(tokens: DataFrame) -> DataFrame:
+    """tree_id, pos, label of each leaf."""
+    return tokens.where("leaf").select("tree_id", (F.col("leaves") - 1).alias("pos"), F.col("tok").alias("label"))
 
 
 def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
@@ -101,5 +105,4 @@ def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
     )
     status = both.select("tree_id", status.alias("status"), "n_leaves")
     good = tokens.join(status.where("status = 'ok'").select("tree_id"), "tree_id", "left_semi")
-    leaves = good.where("leaf").select("tree_id", (F.col("leaves") - 1).alias("pos"), F.col("tok").alias("label"))
-    return Parsed(good.select("tree_id", "i", "tok", "leaf", "depth", "node", "leaves"), status, leaves)
+    return Parsed(good.select("tree_id", "i", "tok", "leaf", "depth", "node", "leaves"), status)
