@@ -221,7 +221,9 @@ def test_common_length():
         assert decontamination.common_length(a, b) == t[-1][-1]
 
 
-def test_decontamination(spark, make, odd, empty):
+@pytest.mark.parametrize("block", [200_000, 30])
+def test_decontamination(spark, make, odd, empty, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     rng = random.Random(10)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
