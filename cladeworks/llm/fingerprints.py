@@ -122,14 +122,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = place.transform(rows.withColumn("at", F.col("order").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
     heads = [(r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max("order").alias("head")).collect()]  # at most n rows
     heads.sort(reverse=True)
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    own = F.struct(F.col("bucket"), F.lit(False).alias("carried"))
-    if before:
-        to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-        carried = F.struct(to[F.col("order")].alias("bucket"), F.lit(True).alias("carried"))
-        dealt = F.when(F.col("order").isin(list(before)), F.array(own, carried)).otherwise(F.array(own))
-    else:
-        dealt = F.array(own)
+    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
+    rows = rows.join(F.broadcast(spark.createDataFrame(before, "order long, ahead int")), "order", "left")
+    own, carried = F.struct("bucket", F.lit(False).alias("carried")), F.struct(F.col("ahead").alias("bucket"), F.lit(True).alias("carried"))
+    dealt = F.when(F.col("ahead").isNotNull(), F.array(own, carried)).otherwise(F.array(own))
     copies = rows.select(F.explode(dealt).alias("d"), "order", "doc_id", "text").select("d.*", "order", "doc_id", "text")
     ordered = copies.repartition(n // 4, "bucket").sortWithinPartitions(F.desc("bucket"), "carried", F.desc("order"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
