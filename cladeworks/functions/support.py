@@ -35,7 +35,7 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
 def posterior_of(f1: float, f2: float, f3: float, n: float, lam: float) -> float:
     """The main topology's share of the three topologies' marginal likelihoods; 0 if its own is 0."""
     def log_g(x: float) -> float:
-        g = 1 - incomplete_beta(1 / 3, x + 1, n - x + 2 * lam)
+        g = incomplete_beta(2 / 3, n - x + 2 * lam, x + 1)  # one minus that of 1/3, without cancellation
         return math.log(g) if g > ZERO else -math.inf
 
     def log_r(m: float) -> float:

@@ -185,6 +185,7 @@ def test_posterior():
     for n in (1, 7, 40):
         for f1 in range(n + 1):
             assert 1 - support.incomplete_beta(1 / 3, f1 + 1, n - f1 + 1) == pytest.approx(tail(f1, n), abs=1e-12)
+            assert support.incomplete_beta(2 / 3, n - f1 + 1, f1 + 1) == pytest.approx(tail(f1, n), rel=1e-9)
     assert support.posterior_of(0, 0, 0, 9, 0.5) == pytest.approx(1 / 3)
     assert support.posterior_of(90, 5, 5, 100, 0.5) > 0.999 and support.posterior_of(5, 90, 5, 100, 0.5) < 1e-6
     assert 0 <= support.posterior_of(333_400, 333_300, 333_300, 10**6, 0.5) <= 1
