@@ -143,7 +143,8 @@ class _Table:
     def __init__(self, keys, values):
         import numpy as np
 
-        self.mask = (1 << max(4, (2 * len(keys)).bit_length())) - 1
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
         at = self._at(keys)
         left = np.arange(len(keys))
@@ -159,7 +160,7 @@ class _Table:
         import numpy as np
 
         with np.errstate(over="ignore"):
-            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.mask
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)  # the top bits depend on all of the key
 
     def get(self, keys):
         """Each key's value; 0 for keys that are not in the table."""
