@@ -122,7 +122,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = occurrences(docs)
     found = bootstrap(rows).select("instance", F.lit(True).alias("led"))
-    rows = rows.withColumn("instance", F.when(F.col("kind") == "token", F.lower("found"))).join(found, "instance", "left")
+    tokens = rows.where("kind = 'token'").withColumn("instance", F.lower("found")).join(found, "instance", "left").drop("instance")
+    rows = rows.where("kind is null or base").withColumn("led", F.lit(False)).unionByName(tokens)
     kind = F.when(F.col("base"), F.col("kind")).when(F.col("led"), F.lit("id"))
     rank = F.array_position(F.array(*map(F.lit, (*KINDS, "id"))), kind).cast("int")
     span = F.when(kind.isNotNull(), F.struct("start", rank.alias("rank"), "end", kind.alias("kind"), "found"))
