@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeworks.session import settle
+
 
 def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """tree_id, newick of the non-blank lines of a text file; ids ascend with the lines. ``first``: only so many lines.
@@ -57,7 +59,7 @@ def leaves(tokens: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
-    """Parse (tree_id, newick) lines; no tree is built, nodes are intervals of leaf positions.
+    """Parse (tree_id, newick) lines; no tree is built, nodes are intervals of leaf positions. Tokens are written at once.
 
     Accepted are rooted binary trees, one a line, with or without lengths, comments and a semicolon, and single
     leaves. Null and blank lines are passed over. A label after ``)`` is a support value, which is ignored, or makes
@@ -77,7 +79,7 @@ def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
     rows = rows.withColumn("misplaced", bad).withColumn("depth", F.sum(opens - closes).over(upto) + closes)
     rows = rows.withColumn("leaves", F.sum(F.col("leaf").cast("int")).over(upto))
     level = Window.partitionBy("tree_id", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = rows.withColumn("node", F.sum(opens).over(level))
+    tokens = settle(rows.withColumn("node", F.sum(opens).over(level)), "all-tokens")  # read three times below
     nodes = tokens.where("tok in ('(', ',', ')')").groupBy("tree_id", "depth", "node").agg(
         *(F.sum((F.col("tok") == t).cast("int")).alias(n) for t, n in (("(", "o"), (",", "c"), (")", "e"))),
         F.min(F.when(F.col("tok") == "(", F.col("leaves"))).alias("start"), F.max(F.when(F.col("tok") == ")", F.col("leaves"))).alias("end"),
