@@ -248,6 +248,28 @@ def test_decontamination(spark, make, odd, empty, monkeypatch, block):
     assert not any(r.contaminated for r in decontamination.find_benchmark(make(texts), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("parts", [512, 150])
+def test_decontamination_of_many_items(spark, make, monkeypatch, parts):
+    """Every whole copy is found, and every copy with a few other words, of hundreds of items, short ones of common words too."""
+    monkeypatch.setattr(decontamination, "BLOCK_PARTS", parts)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    text = lambda n, of=3000: " ".join(vocabulary[int(of * rng.random() ** 2)] for _ in range(n))
+    items = [text(rng.randrange(8, 60), 300 if i % 3 else 3000) for i in range(400)]
+
+    def reworded(x):
+        w = x.split()
+        for i in rng.sample(range(len(w)), len(w) // 5):
+            w[i] = "another"
+        return " ".join(w)
+
+    texts = [f"{text(90)} {x} {text(60)}" for x in items] + [f"{text(90)} {reworded(x)} {text(60)}" for x in items] + [text(200) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_benchmark(make(texts), bench).collect()}
+    assert [i for i in range(800) if i % 400 not in got[i].item_ids] == []
+    assert [i for i in range(800, 840) if got[i].contaminated] == []
+
+
 def test_pipeline(spark, small, odd, empty, tmp_path):
     """Each stage against what it must keep, on its own input."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
