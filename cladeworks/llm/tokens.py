@@ -19,7 +19,7 @@ import numpy as np
 #: Appended to each document.
 END_ID = 1
 #: Entries that a worker keeps of each kind; beyond, words are encoded again.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH = 300_000, 600_000, 48
+KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH = 500_000, 600_000, 48
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -100,5 +100,8 @@ def default_path() -> str:
 def encode(text: bytes, path: str) -> bytes:
     """Ids as little-endian unsigned 32-bit integers, the end id included."""
     chunks = _chunks(path)
-    ids = b"".join(map(chunks.__getitem__, text.split())) if chunks.by_chunks else chunks.whole(text.decode())
-    return ids + END_ID.to_bytes(4, "little")
+    if not chunks.by_chunks:
+        return chunks.whole(text.decode()) + END_ID.to_bytes(4, "little")
+    if text.isascii() and b"<|" not in text:
+        text = text.lower()  # as the tokenizer does, so that fewer different words are met
+    return b"".join(map(chunks.__getitem__, text.split())) + END_ID.to_bytes(4, "little")
