@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeworks.llm import tokens
-from cladeworks.llm.common import table, texts
+from cladeworks.llm.common import few, table, texts
 
 #: Context sizes, and the tokens of the steps among which a task's sequences are balanced.
 TIERS = (2048, 1024, 512, 256)
@@ -141,7 +141,7 @@ def _pack(path: str):
             return pa.record_batch({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
         held = 0
-        for b in batches:
+        for b in few(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), raw(b.column("text")), strict=True):
                 ids.append(tokens.encode(text, path))
                 docs.append((doc, len(ids[-1]) // 4, 0))

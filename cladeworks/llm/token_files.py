@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeworks.llm import tokens
-from cladeworks.llm.common import table, texts
+from cladeworks.llm.common import few, table, texts
 from cladeworks.session import settle, work_dir
 
 #: Bytes of a row group, rows and bytes of a page: a page is what a selective read fetches.
@@ -27,7 +27,7 @@ def _encode(path: str):
         from cladeworks.llm.common import raw
 
         part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in few(batches):
             ids = [tokens.encode(t, path) for t in raw(b.column("text"))]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             yield pa.record_batch(
@@ -75,7 +75,7 @@ def _checksums(batches):
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
+    for b in few(batches):
         lists = b.column("ids")
         ends, values = lists.offsets.to_numpy(), memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
         crc = [zlib.crc32(values[4 * x : 4 * y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]

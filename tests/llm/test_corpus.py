@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from cladeworks.llm import components, decontamination, golay, kneser_ney, perfect_hash, revisits, simhash_dedup
+from cladeworks.llm import common, components, decontamination, golay, kneser_ney, perfect_hash, revisits, simhash_dedup
 from tests.conftest import rows
 
 
@@ -85,6 +85,38 @@ def test_near_duplicates(spark, make, odd, empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_hot_keys(spark, make, monkeypatch):
+    """Groups that are cut into parts give the same components; a task's batches may end anywhere."""
+    monkeypatch.setattr(simhash_dedup, "BATCH", 50)
+    monkeypatch.setattr(simhash_dedup, "in_groups", lambda rows, item: common.in_groups(rows, item, 16))
+    monkeypatch.setattr(components, "HUB", 5)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(700)]
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            copy[rng.randrange(700)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    check_near_duplicates(simhash_dedup.near_duplicates(make(texts)).collect(), texts)
+
+
+def test_keepers_do_not_depend_on_partitions(spark):
+    """Rows of one id with other texts, copies without an id, and repeated rows: no unique text is lost, no copy stays."""
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(200)) for x in "abc")
+    data = [(2, a, "en"), (5, a, "en"), (5, b, "en"), (None, b, "x"), (None, b, "y"), (7, c, "z"), (7, c, "y"), (7, c, "y"), (None, a + " more", None), (None, None, None), (9, "", "en"), (None, "only here", "en")]
+    want = {(2, a, "en"), (5, b, "en"), (7, c, "y"), (9, "", "en"), (None, "only here", "en")}
+    for n in (1, 2, 4, 7):
+        for most in (1_000_000, 0):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(simhash_dedup, "MOST_GONE", most)
+                df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(n)
+                got = [tuple(r) for r in simhash_dedup.drop_near_duplicates(df, "lang").collect()]
+                assert len(got) == len(want) and set(got) == want
+    alone = spark.createDataFrame([(None, b, "x"), (None, b, "y"), (None, b, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in simhash_dedup.drop_near_duplicates(alone, "lang").collect()] == [(None, b, None)]
+
+
 def test_near_duplicates_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

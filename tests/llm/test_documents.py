@@ -123,28 +123,65 @@ def test_language_id(spark, small, odd, empty):
     assert right >= 0.95 * n > 0
     found = {r.doc_id: r for r in language_id.identify(odd, profiles).collect()}
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (1, 2, 3, 7)) and found[4].lang_pred != "und"
-    assert language_id.learn(empty) == {} and language_id.identify(empty, {}).count() == 0
-    assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
+    none = language_id.learn(empty)
+    assert none.count() == 0 and language_id.identify(empty, profiles).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
     assert held_out_rule(docs)
 
 
+def language_by_brute_force(text, profiles):
+    """Out-of-place distances from their definition, over plain counters."""
+    count = plain_ngrams(text)
+    ranked = sorted(count, key=lambda g: (-count[g], [ord(c) for c in g.rjust(3, "\0")]))[: language_id.PROFILE]
+    if not ranked or not profiles:
+        return "und", 0.0
+    away = sorted((sum(abs(p[g] - i) if g in p else language_id.PROFILE for i, g in enumerate(ranked)), lang) for lang, p in profiles.items())
+    second = away[1][0] if len(away) > 1 else language_id.PROFILE * len(ranked)
+    return away[0][1], (second - away[0][0]) / second if second else 0.0
+
+
+@pytest.mark.parametrize("most", [5000, 0])
+def test_language_by_distance(spark, small, odd, make, monkeypatch, most):
+    """Profiles, predictions and scores against brute force, with profiles that go to every task and with joins."""
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", most)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    learned = collections.defaultdict(dict)
+    found = language_id.learn(docs)
+    for r in found.collect():
+        learned[r.lang]["".join(chr(r.gram >> s & 0x1FFFFF) for s in (42, 21, 0) if r.gram >> s)] = r.r
+    counts = collections.defaultdict(collections.Counter)
+    for r in docs.collect():
+        if r.lang is not None:
+            counts[r.lang].update(plain_ngrams(r.text or ""))
+    for lang, c in counts.items():
+        assert list(learned[lang]) and sorted(learned[lang], key=learned[lang].get) == sorted(c, key=lambda g: (-c[g], [ord(x) for x in g.rjust(3, "\0")]))[: language_id.PROFILE]
+    for one in (found, found.where("lang = 'en'"), found.limit(0)):
+        names = {r.lang for r in one.select("lang").distinct().collect()}
+        for table in (docs.limit(60), odd, make(["", "a", "zzz qqq", "日本"])):
+            for r in language_id.identify(table, one, keep_text=True).collect():
+                assert (r.lang_pred, pytest.approx(r.score)) == language_by_brute_force(r.text, {k: v for k, v in learned.items() if k in names})
+
+
 def held_out_rule(docs):
     return all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in docs.select("doc_id", language_id.held_out().alias("h")).collect())
 
 
-def test_ngrams_by_pieces(monkeypatch):
-    text = "Der schnelle Fuchs, der 3 braune!  " * 20
+def plain_ngrams(t):
+    t = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", t.lower(), flags=re.S) + " "
+    t = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t))
+    out = collections.Counter(c for c in t if c != " ")
+    out.update(t[i : i + 2] for i in range(len(t) - 1))
+    out.update(t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " ")
+    return out
 
-    def plain(t):
-        t = " " + re.sub(r"[^a-z]+", " ", t.lower()).strip() + " "
-        out = collections.Counter(c for c in t if c != " ")
-        out.update(t[i : i + 2] for i in range(len(t) - 1))
-        out.update(t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " ")
-        return out
 
-    keys, n = language_id.ngrams(text)
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 100, 1 << 20])
+def test_ngrams_by_pieces(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
     name = lambda k: "".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0) if k >> s)
-    assert {name(k): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)} == plain(text)
+    for text in ("Der schnelle Fuchs, der 3 braune!  " * 20, "", "  ", "a", " a ", "ab", "ΑΣ ΑΣΑ, 日本語 -- x", "..a..b", "x" * 30):
+        keys, n = language_id.ngrams(text)
+        assert {name(k): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)} == plain_ngrams(text) and (np.diff(keys) > 0).all()
 
 
 def lines_by_brute_force(texts, least):
