@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm import decontamination, language_id, line_dedup, packing, simhash_dedup, tokens
 from cladeworks.llm.common import table
-from cladeworks.session import settle
+from cladeworks.session import folder, remove, settle, temporary
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -31,11 +31,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id; of rows with one doc_id, one; those without an id stay."""
-    found = simhash_dedup.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _documents(named.unionByName(docs.where("doc_id is null")))
+    """Of each group of linked documents the one with the smallest doc_id (null: last), then the smallest hash of its text."""
+    return _documents(simhash_dedup.drop_near_duplicates(docs, "lang", "source"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; what a stage returns is written and read again.
+
+    What a stage writes on its way is removed when the stage is over, and what it returned when the next one is; the
+    result reads what the last but one returned, which stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = folder(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            docs = settle(stage(spark, docs, sf_dir), path=path)
+        remove(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
