@@ -27,10 +27,22 @@ def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def few(batches, rows: int = ROWS) -> Iterator:
-    """The batches in slices of so many rows, so that what is made of them stays small."""
+    """The batches in slices of so many rows, so that what is made of them stays small; freed memory goes back at once."""
+    import pyarrow as pa
+
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def each(blocks: list) -> Iterator:
+    """The values of broadcasts, one after the other; if there are several, a task holds only one at a time."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)
 
 
 def raw(column) -> list[bytes]:
@@ -60,9 +72,8 @@ def in_groups(rows: DataFrame, item: str, most: int = GROUP_ROWS) -> DataFrame:
 
     Rows of one key meet in one group. A key with more than ``most`` rows is dealt to parts by the hash of ``item``,
     and each two parts meet in a group of their own, where ``split`` tells that only rows of different parts are new
-    to each other; the groups of one part are those where part meets itself (split false).
+    to each other; the groups of one part are those where part meets itself (split false). ``rows`` are made twice.
     """
-    rows = settle(rows, "keyed")
     counts = rows.groupBy("key").count().where(F.col("count") > most)
     hot = settle(counts.select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot-keys")
     if hot.isEmpty():

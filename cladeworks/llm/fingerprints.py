@@ -1,22 +1,28 @@
-"""SimHash document fingerprints of 256 bits, and their near neighbours by block tables."""
+"""SimHash document fingerprints of 256 bits, and their near neighbours by permuted block tables."""
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm.common import table, texts
+from cladeworks.llm.common import few, in_groups, raw, table, texts
 from cladeworks.session import settle
 
-#: A term is this many words in a row; a fingerprint has this many bits.
-TERM_WORDS, BITS = 3, 256
-#: Fingerprints are near if at most RADIUS bits differ: one of RADIUS + 1 blocks is then the same.
-RADIUS = 7
-#: Words whose hash a worker keeps; rows of a block table's group that are compared in one task.
-KEPT_WORDS, GROUP_ROWS = 300_000, 4096
+#: A term is this many words in a row; a fingerprint has this many bits. With single words, texts that share eight in
+#: ten of their runs of five words differ in 7 to 19 bits (the tenth and ninetieth percentile), with three in 20 to 32.
+TERM_WORDS, BITS = 1, 256
+#: Fingerprints are near if at most so many bits differ.
+RADIUS = 20
+#: Up to so many fingerprints, a table is keyed by one of RADIUS + 1 blocks; with more, by two of RADIUS + 2, which
+#: makes more tables of much smaller groups. Either way finds all near ones.
+ONE_BLOCK = 50_000_000
+#: Words whose hash a worker keeps.
+KEPT_WORDS = 300_000
 
 
 class _Hashes(dict):
@@ -45,7 +51,7 @@ def _mix(x):
 def fingerprint(text: str) -> bytes:
     """32 bytes: bit i is set if the terms' signed votes for it, weighted by 1 + log2(count), sum to more than 0.
 
-    Terms are runs of three words in lower case (fewer words: all of them); no word: all bits 0.
+    Terms are runs of TERM_WORDS words in lower case (fewer words: all of them); no word: all bits 0.
     """
     import numpy as np
 
@@ -80,113 +86,171 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - third] + other[:third]
 
 
+def _packed(batches):
+    """Fingerprints, and the texts compressed, as they are shuffled."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in few(batches):
+        found = raw(b.column("text"))
+        rest = {c: b.column(c) for c in b.schema.names if c != "text"}
+        yield pa.record_batch(rest | {"fp": pa.array([fingerprint(t.decode()) for t in found], pa.binary()), "z": pa.array(list(map(pack, found)), pa.binary())})
+
+
 def _pairs(batches):
     """Digests of each row and the one after it in its bucket; the row marked as carried only stands at the end."""
     import hashlib
 
     import pyarrow as pa
+    import zstandard
 
     names = ("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+    unpack = zstandard.ZstdDecompressor().decompress
     last = None
-    for b in batches:
+    for b in few(batches):
         rows = []
-        for bucket, carried, doc, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "carried", "doc_id", "text")), strict=True):
-            fp = fingerprint(text)
-            if last and last[0] == bucket and not last[1]:
+        for bucket, sub, carried, doc, fp, z in zip(*(b.column(c).to_pylist() for c in ("bucket", "sub", "carried", "doc_id", "fp", "z")), strict=True):
+            text = unpack(z).decode()
+            if last and last[0] == (bucket, sub) and not last[1]:
                 _, _, own, whole, mine = last
                 new = edited(whole, text)
                 other = fingerprint(new)
                 rows.append((own, len(whole), hashlib.sha256(new.encode()).hexdigest(), mine, other, likeness(mine, other), likeness(mine, fp)))
-            last = (bucket, carried, doc, text, fp)
+            last = ((bucket, sub), carried, doc, text, fp)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=list(names))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next of every row.
 
-    The next document is the one after it by descending doc_id (null: last; repeated doc_ids: by text); after the
-    last comes the first. Null texts are empty. An empty table gives no rows. Rows are dealt to buckets between
-    quantiles of doc_id; each bucket also gets the first document of the next one, so each text is shuffled once.
+    The next document is the one after it by descending doc_id (null: last; repeated doc_ids: in a fixed order of
+    texts); after the last comes the first. Null texts are empty; texts of any length are whole; an empty table gives
+    no rows; other columns are left behind. Rows are dealt to buckets between quantiles of doc_id; each bucket also
+    gets the first document of the next one, so each text is shuffled once. A doc_id (or null) that fills several
+    buckets is dealt to as many by the hash of the text.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(-(2**63))))
-    cuts = sorted(set(rows.agg(F.percentile_approx("order", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
+    cuts = rows.agg(F.percentile_approx("order", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    often = {v: m for v, m in Counter(cuts).items() if m > 1}
     splits = [-math.inf, *sorted({float(x) for x in cuts}), math.inf]
     if len(splits) == 2:
         splits.insert(1, 0.0)
     place = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
-    rows = place.transform(rows.withColumn("at", F.col("order").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
-    heads = [(r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max("order").alias("head")).collect()]  # at most n rows
-    heads.sort(reverse=True)
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    rows = rows.join(F.broadcast(spark.createDataFrame(before, "order long, ahead int")), "order", "left")
-    own, carried = F.struct("bucket", F.lit(False).alias("carried")), F.struct(F.col("ahead").alias("bucket"), F.lit(True).alias("carried"))
-    dealt = F.when(F.col("ahead").isNotNull(), F.array(own, carried)).otherwise(F.array(own))
-    copies = rows.select(F.explode(dealt).alias("d"), "order", "doc_id", "text").select("d.*", "order", "doc_id", "text")
-    ordered = copies.repartition(n // 4, "bucket").sortWithinPartitions(F.desc("bucket"), "carried", F.desc("order"), "text")
+    rows = place.transform(rows.withColumn("at", F.col("order").cast("double"))).withColumn("bucket", F.col("bucket").cast("int")).drop("at")
+    if often:  # their rows are ordered by hash, in as many parts
+        rows = rows.join(F.broadcast(spark.createDataFrame(list(often.items()), "order long, parts int")), "order", "left")
+        rows = rows.withColumn("hash", F.when(F.col("parts").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+        rows = rows.withColumn("sub", F.when(F.col("parts").isNull(), -1).otherwise(F.floor((F.col("hash") / 2.0**64 + 0.5) * F.col("parts"))).cast("int")).drop("parts")
+    else:
+        rows = rows.withColumn("hash", F.lit(0).cast("long")).withColumn("sub", F.lit(-1))
+    first = F.max(F.struct("order", F.bitwise_not("hash").alias("inverse")))
+    heads = [((-r.bucket, r.sub), (r.x.order, ~r.x.inverse)) for r in rows.groupBy("bucket", "sub").agg(first.alias("x")).collect()]  # at most 2 n rows
+    heads.sort()
+    before = [(*head, -heads[i - 1][0][0], heads[i - 1][0][1]) for i, (_, head) in enumerate(heads)]
+    ahead = spark.createDataFrame(before, "order long, hash long, bucket int, sub int").groupBy("order", "hash").agg(F.collect_list(F.struct("bucket", "sub", F.lit(True).alias("carried"))).alias("ahead"))
+    packed = rows.select("doc_id", "order", "hash", "bucket", "sub", "text").mapInArrow(_packed, "doc_id long, order long, hash long, bucket int, sub int, fp binary, z binary")
+    packed = packed.join(F.broadcast(ahead), ["order", "hash"], "left")
+    own = F.array(F.struct("bucket", "sub", F.lit(False).alias("carried")))
+    copies = packed.select(F.explode(F.concat(own, F.coalesce("ahead", F.array().cast("array<struct<bucket:int,sub:int,carried:boolean>>")))).alias("d"), "order", "hash", "doc_id", "fp", "z").select("d.*", "order", "hash", "doc_id", "fp", "z")
+    ordered = copies.repartition(n // 4, "bucket", "sub").sortWithinPartitions(F.desc("bucket"), "sub", "carried", F.desc("order"), "hash", "z")
     schema = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
-    return ordered.select("bucket", "carried", "doc_id", "text").mapInArrow(_pairs, schema)
-
-
-def _near(batches):
-    """How many rows of the same group each fingerprint is near to, counted in the first block that the two share."""
-    import numpy as np
-    import pyarrow as pa
-
-    def out(rows):
-        words = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, BITS // 32)
-        part, split = np.array([r[1] for r in rows]), rows[0][2]
-        block, n = rows[0][4], np.zeros(len(rows), np.int64)
-        for i in range(0, len(rows), 128):
-            x = words[i : i + 128, None, :] ^ words[None, :, :]
-            near = np.bitwise_count(x).sum(2) <= RADIUS
-            near &= ~(x[:, :, :block] == 0).any(2)
-            if split:
-                near &= part[i : i + 128, None] != part[None, :]
-            near[np.arange(len(near)), i + np.arange(len(near))] = False
-            n[i : i + 128] += near.sum(1)
-        found = np.flatnonzero(n)
-        return pa.record_batch({"fp": pa.array([rows[k][3] for k in found], pa.binary()), "n": pa.array(n[found])})
-
-    rows: list[tuple] = []
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("g", "part", "split", "fp", "block")), strict=True):
-            if rows and rows[-1][0] != row[0]:
-                if len(rows) > 1:
-                    yield out(rows)
-                rows = []
-            rows.append(row)
-    if len(rows) > 1:
-        yield out(rows)
-
-
-def near_counts(fingerprints: DataFrame) -> DataFrame:
+    return ordered.select("bucket", "sub", "carried", "doc_id", "fp", "z").mapInArrow(_pairs, schema)
+
+
+def _cuts(same: int) -> list[int]:
+    m = RADIUS + same
+    return [BITS * i // m for i in range(m + 1)]
+
+
+def _tables(same: int):
+    """Rows (key, fp): for each choice of ``same`` blocks, the number of the choice with the bits of these blocks."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cuts = _cuts(same)
+        for b in few(batches):
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
+            blocks = [bits[:, x:y] @ (1 << np.arange(y - x)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for number, chosen in enumerate(itertools.combinations(range(len(blocks)), same)):
+                key = np.zeros(len(bits), np.int64)
+                for i in chosen:
+                    key = key << (cuts[i + 1] - cuts[i]) | blocks[i]
+                yield pa.record_batch({"key": pa.array(number << 32 | key), "fp": b.column("fp")})
+
+    return run
+
+
+def _near(same: int):
+    """How many rows of the same group each fingerprint is near to, counted in the first table in which the two meet."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cuts = _cuts(same)
+        choices = list(itertools.combinations(range(len(cuts) - 1), same))
+        def out(rows):
+            fp = np.frombuffer(b"".join(r[4] for r in rows), "<u8").reshape(-1, BITS // 64)
+            part, n = np.array([r[2] for r in rows]), np.zeros(len(rows), np.int64)
+            blocks = choices[rows[0][1] >> 32]
+            for i in range(0, len(rows), 256):
+                x = np.arange(i, min(i + 256, len(rows)))
+                r, c = np.nonzero(np.bitwise_count(fp[x, None, 0] ^ fp[None, i:, 0]) <= RADIUS)  # few pass in one word
+                r, c = r + i, c + i
+                ok = r < c
+                if rows[0][3]:
+                    ok &= part[r] != part[c]
+                r, c = r[ok], c[ok]
+                apart = fp[r] ^ fp[c]
+                ok = np.bitwise_count(apart).sum(1) <= RADIUS
+                r, c, apart = r[ok], c[ok], apart[ok]
+                if len(r):
+                    bits = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1)
+                    equal = np.stack([~bits[:, a:z].any(1) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], 1)
+                    first = equal[:, : blocks[-1] + 1].sum(1) == same  # else they meet in an earlier table
+                    n += np.bincount(r[first], minlength=len(n)) + np.bincount(c[first], minlength=len(n))
+            found = np.flatnonzero(n)
+            return pa.record_batch({"fp": pa.array([rows[k][4] for k in found], pa.binary()), "n": pa.array(n[found])})
+
+        rows: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "key", "part", "split", "fp")), strict=True):
+                if rows and rows[-1][:2] != row[:2]:
+                    if len(rows) > 1:
+                        yield out(rows)
+                    rows = []
+                rows.append(row)
+        if len(rows) > 1:
+            yield out(rows)
+
+    return run
+
+
+def near_counts(fingerprints: DataFrame, same: int | None = None) -> DataFrame:
     """fp, n_near for each distinct fp (32 bytes; nulls are passed over) with other distinct ones within the radius.
 
-    Each fingerprint stands in one table for each of its 8 blocks of 32 bits; rows with the same block are compared.
-    A group of more than GROUP_ROWS is dealt to parts, and each two parts are compared in a task of their own.
+    If at most RADIUS bits differ, ``same`` of RADIUS + ``same`` blocks are equal, so the two meet in the table of one
+    choice of so many blocks. ``same`` follows the number of fingerprints unless it is given. A group of many rows is
+    dealt to parts, and each two parts are compared in a task of their own. An empty table gives none.
     """
-    size = BITS // 8 // (RADIUS + 1)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS))).alias("block")
-    rows = fingerprints.where("fp is not null").select("fp").distinct().select("fp", blocks)
-    rows = rows.withColumn("key", F.xxhash64("block", F.expr(f"substring(fp, block * {size} + 1, {size})")))
-    rows = settle(rows, "blocks")
-    hot = settle(rows.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts")), "hot-blocks")
-    rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("g", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with"))).withColumn("split", F.col("part") != F.col("with"))
-    dealt = rows.select("g", "part", "split", "fp", "block").repartition("g").sortWithinPartitions("g", "fp")
-    return dealt.mapInArrow(_near, "fp binary, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    rows = settle(fingerprints.where("fp is not null").select("fp").distinct(), "distinct")
+    if same is None:
+        same = 1 if rows.count() <= ONE_BLOCK else 2
+    dealt = in_groups(rows.mapInArrow(_tables(same), "key long, fp binary"), "fp").select("g", "key", "part", "split", "fp")
+    return dealt.mapInArrow(_near(same), "fp binary, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how many other fingerprints are near; cases as in ``with_next`` and ``near_counts``."""
     rows = settle(with_next(table(spark, sf_dir, "documents")), "fingerprints")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     near = settle(near_counts(rows), "near")
-    out = rows.join(near, "fp", "left")
     text = lambda c: F.lower(F.hex(c)).alias(c.replace("fp", "fingerprint"))
-    return out.select("doc_id", "n_chars", "edited_sha256", text("fp"), text("edited_fp"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return rows.join(near, "fp", "left").select("doc_id", "n_chars", "edited_sha256", text("fp"), text("edited_fp"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm.common import table, texts
+from cladeworks.llm.common import each, few, small, table, texts
 from cladeworks.session import settle
 
 #: Characters of the longest n-gram, bits of a character's class, and classes (the uniform base of the model).
@@ -19,7 +19,9 @@ QUANTILE, SLACK, HELD_OUT, LEAST_TRUSTED = 0.99, 1.15, 5, 20
 #: What a document is: not trusted, trained on, or held out.
 OTHER, TRAIN, HELD = 0, 1, 2
 #: Code points that are counted at a time; n-grams of a shard; bytes of shards that are broadcast at a time.
-PIECE, SHARD_ROWS, BLOCK_BYTES = 1 << 20, 1 << 16, 48 << 20
+PIECE, SHARD_ROWS, BLOCK_BYTES = 1 << 20, 1 << 17, 48 << 20
+#: N-grams that are scored at a time; four times as many if the model has several blocks.
+SCORED = 1 << 20
 #: Most rows of trusted ids (8 bytes each), and of languages, that are broadcast; beyond, they are joined.
 MOST_IDS, MOST_LANGUAGES = 4_000_000, 5_000
 
@@ -69,7 +71,7 @@ def _count(batches):
         for (lang, trusted), ((keys, n),) in held.items():
             yield pa.record_batch({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys), "n": pa.array(n * (trusted == TRAIN))})
 
-    for b in batches:
+    for b in few(batches):
         fresh: dict[tuple, list] = {}
         for text, *k in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "trusted")), strict=True):
             fresh.setdefault(tuple(k), []).extend(grams(text))
@@ -91,12 +93,6 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """The table, to be broadcast if it has at most that many rows."""
-    df = settle(df, "small")
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def probabilities(counts: DataFrame) -> DataFrame:
     """lang, gram, p for each row (lang, gram, n) of n-grams that are asked for; n is the count in trusted texts.
 
@@ -114,7 +110,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         rows = tables[k].withColumn("context", F.shiftright("gram", WIDTH))
         at = lambda i: (F.col("a") == i).cast("long") if i < 3 else (F.col("a") >= 3).cast("long")
         contexts = rows.where("a > 0").groupBy("lang", "context").agg(F.sum("a").alias("total"), *(F.sum(at(i)).alias(f"c{i}") for i in (1, 2, 3)))
-        rows = rows.join(contexts, ["lang", "context"], "left").join(_small(_discounts(tables[k]), MOST_LANGUAGES), "lang", "left")
+        rows = rows.join(contexts, ["lang", "context"], "left").join(small(_discounts(tables[k]), MOST_LANGUAGES), "lang", "left")
         if below is None:
             rows = rows.withColumn("lower", F.lit(1 / CLASSES))
         else:
@@ -128,102 +124,84 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return found
 
 
-def _shard(rows):
+def _slots(keys, bits: int):
+    """Where each key's search begins in a table of 2**bits places: the top bits of a product depend on all of the key."""
     import numpy as np
-    import pyarrow as pa
-
-    keys, p = rows["gram"].to_numpy(), rows["p"].to_numpy()
-    data = np.ascontiguousarray(keys, "<i8").tobytes() + np.log(p).astype("<f4").tobytes()
-    return pa.table({"lang": rows["lang"][:1], "shard": rows["shard"][:1], "data": pa.array([data], pa.binary())})
-
-
-class _Table:
-    """Values by 64-bit key: linear probing over arrays."""
 
-    def __init__(self, keys, values):
-        import numpy as np
-
-        bits = max(4, (2 * len(keys)).bit_length())
-        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
-        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
-        at = self._at(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            slot, first = np.unique(at[left], return_index=True)
-            free = self.keys[slot] == -1
-            here = left[first[free]]
-            self.keys[slot[free]], self.values[slot[free]] = keys[here], values[here]
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & self.mask
-
-    def _at(self, keys):
-        import numpy as np
-
-        with np.errstate(over="ignore"):
-            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)  # the top bits depend on all of the key
-
-    def get(self, keys):
-        """Each key's value; 0 for keys that are not in the table."""
-        import numpy as np
+    with np.errstate(over="ignore"):
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-        at = self._at(keys)
-        out, left = np.zeros(len(keys), np.float32), np.arange(len(keys))
-        while len(left):
-            seen = self.keys[at]
-            hit = seen == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (seen != -1)
-            left, at = left[on], (at[on] + 1) & self.mask
-        return out
 
-
-_loaded: dict = {}
-
-
-def _tables(block) -> dict:
-    """A worker's tables of the block at hand, by language."""
+def _shard(rows):
+    """A shard's values by key, as arrays for linear probing that are at most half full."""
     import numpy as np
+    import pyarrow as pa
 
-    if block.id not in _loaded:
-        _loaded.clear()
-        parts: dict[str, list] = {}
-        for (lang, _), data in block.value.items():
-            n = len(data) // 12
-            parts.setdefault(lang, []).append((np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f4", n, 8 * n)))
-        _loaded[block.id] = {lang: _Table(*(np.concatenate(x) for x in zip(*p, strict=True))) for lang, p in parts.items()}
-    return _loaded[block.id]
-
-
-class _Block:
-    """A broadcast value with a name by which workers know it again."""
-
-    def __init__(self, spark: SparkSession, value: dict):
-        import uuid
-
-        self.id, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+    keys, p = np.ascontiguousarray(rows["gram"].to_numpy()), np.log(rows["p"].to_numpy()).astype("<f4")
+    bits = max(4, (2 * len(keys) - 1).bit_length())
+    own, values, mask = np.full(1 << bits, -1, "<i8"), np.zeros(1 << bits, "<f4"), (1 << bits) - 1
+    at, left = _slots(keys, bits), np.arange(len(keys))
+    while len(left):
+        slot, first = np.unique(at[left], return_index=True)
+        free = own[slot] == -1
+        here = left[first[free]]
+        own[slot[free]], values[slot[free]] = keys[here], p[here]
+        left = left[own[at[left]] != keys[left]]
+        at[left] = (at[left] + 1) & mask
+    return pa.table({"lang": rows["lang"][:1], "shard": rows["shard"][:1], "data": pa.array([own.tobytes() + values.tobytes()], pa.binary())})
+
+
+def _get(data: bytes, keys):
+    """Each key's value; 0 for keys that are not in the shard."""
+    import numpy as np
 
-    @property
-    def value(self) -> dict:
-        return self.held.value
+    n = len(data) // 12
+    own, values = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f4", n, 8 * n)
+    at, out, left = _slots(keys, n.bit_length() - 1), np.zeros(len(keys), np.float32), np.arange(len(keys))
+    while len(left):
+        seen = own[at]
+        hit = seen == keys[left]
+        out[left[hit]] = values[at[hit]]
+        on = ~hit & (seen != -1)
+        left, at = left[on], (at[on] + 1) & (n - 1)
+    return out
 
 
-def _score(block: _Block, last: bool):
+def _score(blocks: list, shards: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        tables = _tables(block)
-        for b in batches:
-            sums, sizes = [], []
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                t, s, n = tables.get(lang), 0.0, 0
+        def add(of: dict[str, list], sums) -> None:
+            """The log probabilities of the n-grams gathered, to the sums of their rows; the shards' n-grams lie together."""
+            asked = {}
+            for lang, parts in of.items():
+                keys, row = np.concatenate([k for _, k in parts]), np.repeat([i for i, _ in parts], [len(k) for _, k in parts])
+                shard = (keys % shards).astype(np.uint32)
+                order = np.argsort(shard, kind="stable")
+                asked[lang] = keys[order], row[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            for block in each(blocks):
+                for (lang, k), data in block.items():
+                    if lang in asked:
+                        keys, row, cuts = asked[lang]
+                        x, y = cuts[k], cuts[k + 1]
+                        sums += np.bincount(row[x:y], _get(data, keys[x:y]), len(sums))
+
+        most = SCORED if len(blocks) == 1 else 4 * SCORED
+        for b in few(batches):
+            of: dict[str, list] = {}  # rows and n-grams of each language
+            sums, sizes, held = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), 0
+            for i, (text, lang) in enumerate(zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)):
                 for key in grams(text):
-                    n += len(key)
-                    s += float(t.get(key).sum(dtype=np.float64)) if t else 0.0
-                sums.append(s)
-                sizes.append(n)
-            rest = {c: b.column(c) for c in b.schema.names if c not in ("log_p", "n_grams") and not (last and c == "text")}
-            yield pa.record_batch(rest | {"log_p": pa.array(np.array(sums) + b.column("log_p").to_numpy()), "n_grams": pa.array(sizes, pa.int64())})
+                    sizes[i] += len(key)
+                    held += len(key)
+                    of.setdefault(lang, []).append((i, key))
+                    if held >= most:
+                        add(of, sums)
+                        of, held = {}, 0
+            add(of, sums)
+            rest = {c: b.column(c) for c in b.schema.names if c != "text"}
+            yield pa.record_batch(rest | {"log_p": pa.array(sums), "n_grams": pa.array(sizes)})
 
     return run
 
@@ -232,49 +210,52 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, perplexity (a character's, the text's end included) of each row of ``docs``.
 
     trusted: the doc_ids whose texts train the models, but for those held out; repeated and null ones don't matter. A null lang is ``und``,
-    a null text is empty. Without trusted texts of a language, its probabilities are uniform. Every n-gram of every
-    text gets its probability by joins of counts; the resulting table is cut into shards, which are broadcast in
-    blocks of bounded size, and each block adds its share to the documents' sums.
+    a null text is empty (its end is scored). Without trusted texts of a language, its probabilities are uniform. Texts
+    are scored whole, however long; repeated rows get a result each; an empty table gives none; other columns are left
+    behind. Every n-gram of every text gets its probability by joins of counts. The resulting table is cut into shards
+    and broadcast in blocks of bounded size, of which a task holds one at a time while it scores a batch. So texts are
+    read twice and never written, however large the model, and neither the driver nor a task holds more than a block.
     """
     spark = docs.sparkSession
-    ids = _small(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, HELD).otherwise(TRAIN)), MOST_IDS)
+    ids = small(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, HELD).otherwise(TRAIN)), MOST_IDS)
     rows = texts(docs, F.coalesce("lang", F.lit("und")).alias("lang"))
     rows = rows.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(OTHER)))
     counted = rows.select("text", "lang", "trusted").mapInArrow(_count, "lang string, gram long, n long")
     counts = settle(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     model = probabilities(counts)
-    shards = max(1, -(-model.count() // SHARD_ROWS))
-    cut = model.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int"))
+    shards = max(1, -(-model.count() // SHARD_ROWS)) | 1  # odd, so that a remainder depends on all of an n-gram
+    cut = model.withColumn("shard", F.pmod("gram", F.lit(shards)).cast("int"))
     cut = settle(cut.groupBy("lang", "shard").applyInArrow(_shard, "lang string, shard int, data binary"), "model")
-    blocks: list[list[int]] = [[]]
-    held = 0
-    for r in cut.groupBy("shard").agg(F.sum(F.length("data")).alias("n")).orderBy("shard").toLocalIterator():
-        if held + r.n > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append(r.shard)
-        held += r.n
-    rows = rows.withColumn("log_p", F.lit(0.0)).withColumn("n_grams", F.lit(0).cast("long"))
-    for i, members in enumerate(blocks):
-        last = i == len(blocks) - 1
-        data = {(r.lang, r.shard): bytes(r.data) for r in cut.where(F.col("shard").isin(members)).toLocalIterator()} if members else {}
-        schema = f"doc_id long, {'' if last else 'text string, '}lang string, trusted int, log_p double, n_grams long"
-        rows = rows.mapInArrow(_score(_Block(spark, data), last), schema)
-        rows = settle(rows, "scores")
-    return rows.select("doc_id", "lang", "trusted", F.exp(-F.col("log_p") / F.col("n_grams")).alias("perplexity"))
+    blocks, block, held = [], {}, 0
+    for r in cut.toLocalIterator():
+        if held + len(r.data) > BLOCK_BYTES and block:
+            blocks.append(spark.sparkContext.broadcast(block))
+            block, held = {}, 0
+        block[r.lang, r.shard] = bytes(r.data)
+        held += len(r.data)
+    blocks.append(spark.sparkContext.broadcast(block))
+    scored = rows.mapInArrow(_score(blocks, shards), "doc_id long, lang string, trusted int, log_p double, n_grams long")
+    scored = settle(scored, "scores")
+    return scored.select("doc_id", "lang", "trusted", F.exp(-F.col("log_p") / F.col("n_grams")).alias("perplexity"))
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """``scored`` with threshold and keep: whether the perplexity is at most that of held-out trusted texts of the language."""
+    """doc_id, lang, perplexity, threshold and keep of each row of ``scored``: whether its perplexity is low enough.
+
+    The threshold is SLACK times the QUANTILE of the held-out trusted texts of the language, or with fewer than
+    LEAST_TRUSTED of them that of all languages' together; without any, all stay. Repeated rows count each and get a
+    result each; an empty table gives none.
+    """
     q = SLACK * F.percentile_approx("perplexity", QUANTILE, 10_000)
     known = scored.where(F.col("trusted") == HELD)
     every = known.agg(q).first()[0]
     own = known.groupBy("lang").agg(F.when(F.count("*") >= LEAST_TRUSTED, q).alias("own"))
     limit = F.coalesce("own", F.lit(every), F.lit(float("inf")))
-    out = scored.join(_small(own, MOST_LANGUAGES), "lang", "left").withColumn("threshold", limit)
+    out = scored.join(small(own, MOST_LANGUAGES), "lang", "left").withColumn("threshold", limit)
     return out.select("doc_id", "lang", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it stays; trusted are those labelled as good and not toxic. Cases as in ``score`` and ``judge``."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return judge(score(table(spark, sf_dir, "documents"), trusted))

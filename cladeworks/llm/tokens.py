@@ -19,7 +19,7 @@ import numpy as np
 #: Appended to each document.
 END_ID = 1
 #: Entries that a worker keeps of each kind; beyond, words are encoded again.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH = 500_000, 600_000, 48
+KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH = 300_000, 400_000, 48
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")

@@ -214,6 +214,7 @@ def windows(text):
 @pytest.mark.parametrize("block", [48 << 20, 1])
 def test_kneser_ney(spark, make, monkeypatch, block):
     monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", block)
+    monkeypatch.setattr(kneser_ney, "SCORED", 1000)
     monkeypatch.setattr(kneser_ney, "SHARD_ROWS", 200)
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "zebra", "日本", ""]) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
@@ -235,6 +236,24 @@ def test_kneser_ney_odd(spark, odd, empty):
     assert all(r.keep for r in kneser_ney.judge(kneser_ney.score(odd, ids.limit(0))).collect())
 
 
+def test_judge(spark, monkeypatch):
+    """Thresholds against their definition: of a language's own held-out rows, or of all if it has few; none: all stay."""
+    monkeypatch.setattr(kneser_ney, "LEAST_TRUSTED", 10)
+    rng = random.Random(14)
+    data = [(i, rng.choice(["en", "en", "en", "de"] if i < 60 else ["en", "de", "fr", "und"]), kneser_ney.HELD if i < 40 else rng.choice([0, 1]), rng.uniform(2, 9 if i < 40 else 19)) for i in range(200)]
+    rows = spark.createDataFrame(data, "doc_id long, lang string, trusted int, perplexity double")
+    held = collections.defaultdict(list)
+    for _, lang, trusted, p in data:
+        if trusted == kneser_ney.HELD:
+            held[lang].append(p)
+            held[None].append(p)
+    quantile = lambda x: sorted(x)[max(0, math.ceil(kneser_ney.QUANTILE * len(x)) - 1)] * kneser_ney.SLACK
+    limit = {lang: quantile(held[lang] if len(held[lang]) >= 10 else held[None]) for lang in ("en", "de", "fr", "und")}
+    got = kneser_ney.judge(rows).collect()
+    assert len(got) == 200 and all(r.threshold == pytest.approx(limit[r.lang]) and r.keep == (r.perplexity <= r.threshold) for r in got)
+    assert any(not r.keep for r in got) and all(r.keep and r.threshold == math.inf for r in kneser_ney.judge(rows.where("trusted <> 2")).collect())
+
+
 def test_grams_by_pieces(monkeypatch):
     text = "some text, of 日本 and more  text " * 9
     whole = np.concatenate(list(kneser_ney.grams(text)))
@@ -302,6 +321,37 @@ def test_decontamination_of_many_items(spark, make, monkeypatch, parts):
     assert [i for i in range(800, 840) if got[i].contaminated] == []
 
 
+@pytest.mark.parametrize("kind", ["replace", "drop", "insert", "swap"])
+def test_decontamination_of_edited_items(spark, make, kind):
+    """At least nine in ten copies with a fifth of their words edited are found, of more than 200 items."""
+    rng = random.Random(kind)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    vocabulary = [w for t in docs[:300] for w in t.split()]
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()] + [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12, 60))) for _ in range(60)]
+
+    def edited(x):
+        w = x.split()
+        at = sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True)
+        for i in at:
+            if kind == "replace":
+                w[i] = rng.choice(vocabulary)
+            elif kind == "drop":
+                del w[i]
+            elif kind == "insert":
+                w.insert(i, rng.choice(vocabulary))
+            elif i % 2:
+                w[i - 1 : i + 1] = w[i], w[i - 1]
+        return " ".join(w)
+
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [f"{text(60)} {edited(x)} {text(60)}" for x in items]
+    clean = [text(300) for _ in range(100)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_benchmark(make(texts + clean), bench).collect()}
+    assert sum(i in got[i].item_ids for i in range(len(items))) >= 0.9 * len(items)
+    assert not any(got[len(items) + i].contaminated for i in range(len(clean)))
+
+
 def test_pipeline(spark, small, odd, empty, tmp_path):
     """Each stage against what it must keep, on its own input."""
     docs = spark.read.parquet(f"{small}/documents.parquet")

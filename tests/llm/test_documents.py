@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladeworks.llm import fingerprints, language_id, line_dedup, packing, personal_data, token_files, tokens
+from cladeworks.llm import common, fingerprints, language_id, line_dedup, packing, personal_data, token_files, tokens
 from tests.conftest import rows
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -73,16 +73,53 @@ def test_fingerprints(spark, odd, empty, make):
     assert fingerprints.with_next(make(["only one"])).first().near_next == 1.0
 
 
-@pytest.mark.parametrize("most", [4096, 8])
-def test_near_counts(spark, monkeypatch, most):
-    monkeypatch.setattr(fingerprints, "GROUP_ROWS", most)
+def test_next_of_repeated_ids(spark):
+    """Ids that fill several buckets are dealt to as many; the chain of next documents has each row once."""
+    texts = [f"{i:03d}abcdefgh" for i in range(60)]
+    data = [(5 if i % 3 else None if i % 2 else i, t) for i, t in enumerate(texts)]
+    got = fingerprints.with_next(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    pairs = {hashlib.sha256(fingerprints.edited(t, o).encode()).hexdigest(): (t, o) for t in texts for o in texts}
+    after = dict(pairs[r.edited_sha256] for r in got)
+    ids = {t: -1 if i is None else i for i, t in data}
+    order, t = [], texts[0]
+    for _ in texts:
+        order.append(t)
+        t = after[t]
+    assert len(got) == 60 and set(order) == set(texts) and sum(ids[a] < ids[b] for a, b in zip(order, order[1:] + order[:1], strict=True)) == 1
+
+
+@pytest.mark.parametrize(("most", "same"), [(4096, 1), (8, 1), (4096, 2)])
+def test_near_counts(spark, monkeypatch, most, same):
+    monkeypatch.setattr(fingerprints, "in_groups", lambda rows, item: common.in_groups(rows, item, most))
     rng = random.Random(1)
-    base = [rng.getrandbits(256) for _ in range(20)]
-    all_fp = base + [b ^ sum(1 << k for k in rng.sample(range(256), rng.randrange(1, 12))) for b in base for _ in range(8)]
+    base = [rng.getrandbits(256) for _ in range(12)]
+    all_fp = base + [b ^ sum(1 << k for k in rng.sample(range(256), rng.randrange(1, 26))) for b in base for _ in range(8)]
     near = lambda x: sum(y != x and (x ^ y).bit_count() <= fingerprints.RADIUS for y in set(all_fp))
     want = {x.to_bytes(32): near(x) for x in all_fp if near(x)}
     df = spark.createDataFrame([(bytearray(x.to_bytes(32)),) for x in all_fp] + [(None,)], "fp binary")
-    assert {bytes(r.fp): r.n_near for r in fingerprints.near_counts(df).collect()} == want
+    assert {bytes(r.fp): r.n_near for r in fingerprints.near_counts(df, same).collect()} == want
+    assert fingerprints.near_counts(df.limit(0), same).count() == 0
+
+
+def test_near_copies_of_documents(spark):
+    """Texts that share eight in ten of their runs of five words are found: recall of the radius, and n_near against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    texts = sorted({r.text for r in rows if r.text and len(r.text.split()) >= 20})
+    rng = random.Random(2)
+    vocabulary = [w for t in texts[:50] for w in t.split()]
+    runs = lambda t: set(zip(*[t.lower().split()[i:] for i in range(5)], strict=False))
+    for t in texts[:300]:
+        w = t.split()
+        for _ in range(max(1, len(w) // 60)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    true = [(t, c) for t, c in zip(texts[:300], texts[-300:], strict=True) if len(runs(t) & runs(c)) >= 0.8 * len(runs(t) | runs(c)) and t != c]
+    fp = {t: int.from_bytes(fingerprints.fingerprint(t)) for t in texts}
+    assert len(true) > 100 and sum((fp[a] ^ fp[b]).bit_count() <= fingerprints.RADIUS for a, b in true) >= 0.9 * len(true)
+    words = np.array([list(x.to_bytes(32)) for x in sorted(set(fp.values()))], np.uint8).view("<u8")
+    near = np.array([(np.bitwise_count(words ^ x).sum(1) <= fingerprints.RADIUS).sum() - 1 for x in words])
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in words], "fp binary")
+    assert {bytes(r.fp): r.n_near for r in fingerprints.near_counts(df).collect()} == {x.tobytes(): n for x, n in zip(words, near.tolist(), strict=True) if n}
 
 
 def test_token_files(spark, odd, empty, tmp_path):
@@ -195,10 +232,12 @@ def lines_by_brute_force(texts, least):
     return out
 
 
-@pytest.mark.parametrize("block", [32 << 20, 1])
-def test_line_dedup(spark, odd, empty, make, monkeypatch, block):
-    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block)
+@pytest.mark.parametrize(("probes", "most"), [(1 << 20, 500_000), (50, 0)])
+def test_line_dedup(spark, odd, empty, make, monkeypatch, probes, most):
+    monkeypatch.setattr(line_dedup, "PROBES", probes)
+    monkeypatch.setattr(line_dedup, "MOST_TEXTS", most)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(line_dedup, "ANSWERS", 7)
     rng = random.Random(5)
     texts = ["\n".join(rng.choice([" Foo%d \t", "FOO%d", "\x0bbar%d", "é%d", "É%d", "", " "]).replace("%d", str(rng.randrange(12))) for _ in range(rng.randrange(1, 12))) for _ in range(200)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_common_lines(make(texts), min_docs=5).collect()}
