@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits, support
+from cladeworks.jobs import reports
 from cladeworks.jobs.trees import Collection, Options, derived_trees, infer_species_tree
 from cladeworks.operators import compare, dp, quartets, splits, weights
-from cladeworks.sources import derived
+from cladeworks.sources import derived, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,7 +134,7 @@ def gene_leaf_order(spark, sf_dir):
 def inverse_index(spark, sf_dir):
     """The place of each taxon in each tree, null where it is absent."""
     trees = derived_trees(spark, sf_dir)
-    grid = trees.order.select("tree_id").distinct().withColumn("taxon", F.explode(F.array(*(F.lit(r.taxon) for r in trees.taxa.orderBy("taxon").collect()))))
+    grid = trees.order.select("tree_id").distinct().crossJoin(F.broadcast(trees.taxa.select("taxon")))
     return grid.join(trees.order, ["tree_id", "taxon"], "left")
 
 
@@ -274,7 +275,20 @@ def dp_rounds_regions(spark, sf_dir):
     return dp.solve(trees.weights, trees.root, 1, one_task=0).select(_word("u"), "score")
 
 
-@query()
+def _nation_dp(n: int) -> str:
+    """The totals of all clusters of up to n taxa, size by size, each from those of smaller ones; then the tree from its root down."""
+    parts = ["c AS MATERIALIZED (SELECT a | b AS u, a, b, weight, bit_count(a | b) AS size FROM weight)", "d1 AS (SELECT CAST(NULL AS BIGINT) AS u, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(0 AS BIGINT) AS score WHERE false)"]
+    for k in range(2, n + 1):
+        total = "0" if k == 2 else "c.weight + coalesce(x.score, 0) + coalesce(y.score, 0)"
+        one = f"SELECT c.u, c.a, c.b, CAST({total} AS BIGINT) AS score FROM c LEFT JOIN d{k - 1} x ON x.u = c.a LEFT JOIN d{k - 1} y ON y.u = c.b WHERE size = {k}"
+        best = f"SELECT u, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, a, b) AS r FROM ({one})) WHERE r = 1"
+        parts.append(f"d{k} AS MATERIALIZED (SELECT * FROM d{k - 1} UNION ALL {best})")
+    parts.append("root AS (SELECT CAST(sum(CAST(1 AS BIGINT) << taxon) AS BIGINT) AS mask FROM gene_leaf WHERE tree_id = (SELECT tree_id FROM gene_leaf GROUP BY 1 ORDER BY count(*) DESC, tree_id LIMIT 1))")
+    tree = f"tree AS (SELECT d.u, d.a, d.b FROM d{n} d JOIN root ON u = mask UNION SELECT d.u, d.a, d.b FROM tree t JOIN d{n} d ON d.u = t.a OR d.u = t.b)"
+    return "RECURSIVE " + LEAVES + SPLITS + OVERLAPS + ", " + ", ".join([*parts, tree]) + f" SELECT d.u, d.a, d.b, d.score, t.u IS NOT NULL AS in_tree FROM d{n} d LEFT JOIN tree t ON t.u = d.u"
+
+
+@query(_nation_dp(25))
 def dp_score_nations(spark, sf_dir):
     return derived_trees(spark, sf_dir).solved.select(_word("u"), _word("a"), _word("b"), "score", "in_tree")
 
@@ -346,19 +360,22 @@ def _edges(trees: Collection) -> DataFrame:
     return compare.unrooted(trees.nodes, 1)
 
 
+def _first_edges(trees: Collection, edges: DataFrame) -> DataFrame:
+    return edges.join(F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id"))), "tree_id")
+
+
 @query(LEAVES + SPLITS + TREES + PAIRS + " SELECT tree_1, tree_2, distance, round(nrf, 6) AS nrf FROM rf")
 def rf_pairs(spark, sf_dir):
     trees = derived_trees(spark, sf_dir)
     found = compare.all_pairs(_edges(trees), trees.nodes)
-    return found.withColumn("nrf", F.round(compare.normed(F.col("distance"), trees.taxa.count()), 6))
+    return found.withColumn("nrf", F.round(compare.normed(F.col("distance"), trees.taxa.count()), 6)).orderBy("nrf", "tree_1", "tree_2")
 
 
 @query(LEAVES + SPLITS + TREES + VERSUS + " SELECT tree_id, distance, round(nrf, 6) AS nrf FROM vrf")
 def rf_vs_species(spark, sf_dir):
     trees = derived_trees(spark, sf_dir)
     edges = _edges(trees)
-    first = edges.join(F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id"))), "tree_id")
-    found = compare.to_one(edges, trees.nodes, first)
+    found = compare.to_one(edges, trees.nodes, _first_edges(trees, edges))
     return found.select("tree_id", "distance", F.round(compare.normed(F.col("distance"), trees.taxa.count()), 6).alias("nrf"))
 
 
@@ -367,16 +384,33 @@ SELECT round(g.x, 6) AS gene_gene, g.n AS n_pairs, round((1 - g.x) * 100, 4) AS
 round(s.x, 6) AS gene_species, s.n AS n_trees, CASE WHEN s.x < 0.3 THEN 'very similar' WHEN s.x < 0.6 THEN 'moderately similar' ELSE 'quite different' END AS trees_are FROM g, s""")
 def discordance_summary(spark, sf_dir):
     trees = derived_trees(spark, sf_dir)
-    edges, n = _edges(trees), trees.taxa.count()
-    first = edges.join(F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id"))), "tree_id")
-    nrf = compare.normed(F.col("distance"), n)
-    mean = lambda df, k: df.agg(F.coalesce(F.avg(nrf), F.lit(0.0)).alias(k), F.count("*").alias(f"n_{k}"))
-    row = mean(compare.all_pairs(edges, trees.nodes), "g").crossJoin(mean(compare.to_one(edges, trees.nodes, first), "s"))
-    g, s = F.col("g"), F.col("s")
-    return row.select(
-        F.round(g, 6).alias("gene_gene"), F.col("n_g").alias("n_pairs"), F.round((1 - g) * 100, 4).alias("similarity_pct"), compare.nearness(g).alias("pairs_are"),
-        F.round(s, 6).alias("gene_species"), F.col("n_s").alias("n_trees"), compare.nearness(s).alias("trees_are"),
-    )
+    edges = _edges(trees)
+    return reports.discordance(edges, trees.nodes, _first_edges(trees, edges), trees.taxa.count())
+
+
+FIRST5 = """,
+five AS (SELECT tree_id FROM size ORDER BY tree_id LIMIT 5), n5 AS (SELECT count(DISTINCT taxon) AS n FROM gene_leaf WHERE tree_id IN (SELECT tree_id FROM five)),
+norm AS (SELECT CASE WHEN n <= 3 THEN NULL ELSE 2.0 * (n - 3) END AS w FROM n5),
+g AS (SELECT coalesce(avg(coalesce(least(1.0, distance / w), 0)), 0) AS x, count(*) AS n FROM rf, norm WHERE tree_1 IN (SELECT tree_id FROM five) AND tree_2 IN (SELECT tree_id FROM five)),
+s AS (SELECT coalesce(avg(coalesce(least(1.0, distance / w), 0)), 0) AS x, count(*) AS n FROM vs, norm WHERE tree_id IN (SELECT tree_id FROM five))"""
+
+
+@query(LEAVES + SPLITS + TREES + PAIRS + VERSUS + FIRST5 + """ SELECT round(g.x, 6) AS gene_gene, g.n AS n_pairs, round((1 - g.x) * 100, 4) AS similarity_pct, CASE WHEN g.x < 0.3 THEN 'very similar' WHEN g.x < 0.6 THEN 'moderately similar' ELSE 'quite different' END AS pairs_are,
+round(s.x, 6) AS gene_species, s.n AS n_trees, CASE WHEN s.x < 0.3 THEN 'very similar' WHEN s.x < 0.6 THEN 'moderately similar' ELSE 'quite different' END AS trees_are FROM g, s""")
+def discordance_of_first_five(spark, sf_dir):
+    """The report on the first five lines of a file, the first of which stands in for the species tree."""
+    lines = derived.newick(derived.gene_leaves(spark, sf_dir))
+    return reports.dataset_discordance(lines, lines, 5)
+
+
+@query(LEAVES + SPLITS + TREES + VERSUS + " SELECT tree_id, CAST(tree_id AS VARCHAR) AS first_number, CAST(distance AS VARCHAR) AS last_field FROM vs")
+def report_fields(spark, sf_dir):
+    """Numbers taken back from the text of a report about each tree."""
+    trees = derived_trees(spark, sf_dir)
+    edges = _edges(trees)
+    found = compare.to_one(edges, trees.nodes, _first_edges(trees, edges))
+    text = F.concat(F.lit("Tree "), F.col("tree_id").cast("string"), F.lit("\nTaxa (shared): some\nAverage distance (to the first): about "), F.col("distance").cast("string"), F.lit(" \nEnd"))
+    return found.select("tree_id", stats.first_number(text).alias("first_number"), stats.last_field(text, "Average distance").alias("last_field"))
 
 
 @query(LEAVES + SPLITS + """, f AS (SELECT a | b AS u FROM occurrence WHERE tree_id = (SELECT min(tree_id) FROM occurrence)), o AS (SELECT tree_id, a | b AS u FROM occurrence)
@@ -440,3 +474,53 @@ def tree_score(spark, sf_dir):
     """Triplets of all gene trees that agree with the first one: the sum of its splits' weights."""
     trees = derived_trees(spark, sf_dir)
     return _first_tree(trees).select("a", "b").join(trees.weights, ["a", "b"]).agg(F.sum("weight").alias("score"))
+
+
+#: A tree for each part: its suppliers' nations by their largest price.
+PART_LEAVES = """
+cell AS (SELECT l_partkey AS tree_id, s_nationkey AS taxon, max(l_extendedprice) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+gene_leaf AS (SELECT tree_id, taxon, row_number() OVER (PARTITION BY tree_id ORDER BY m DESC, taxon) - 1 AS pos FROM cell)"""
+
+
+@query(PART_LEAVES + SPLITS + " SELECT a, b, freq FROM dsplit")
+def split_frequency_parts(spark, sf_dir):
+    """As split_frequency, with as many trees as parts."""
+    return derived_trees(spark, sf_dir, parts=True).splits.select(_word("a"), _word("b"), "freq")
+
+
+@query(PART_LEAVES + SPLITS + TREES + VERSUS + " SELECT tree_id, distance, round(nrf, 6) AS nrf FROM vrf")
+def rf_vs_species_parts(spark, sf_dir):
+    """Distances of the parts' trees to the first one that has a split."""
+    trees = derived_trees(spark, sf_dir, parts=True)
+    edges = _edges(trees)
+    every = trees.order.select("tree_id")
+    found = compare.to_one(edges, every, _first_edges(trees, edges))
+    return found.select("tree_id", "distance", F.round(compare.normed(F.col("distance"), trees.taxa.count()), 6).alias("nrf"))
+
+
+@query(PART_LEAVES + """, t AS (SELECT tree_id, max(CASE WHEN taxon % 7 = 3 THEN 1 ELSE 0 END) AS x FROM gene_leaf GROUP BY 1)
+SELECT CASE WHEN x = 1 THEN 'unknown' ELSE 'ok' END AS status, count(*) AS n_trees FROM t GROUP BY 1""")
+def unknown_taxa_parts(spark, sf_dir):
+    """The parts' trees by status, read with a dictionary that lacks some nations."""
+    trees = derived_trees(spark, sf_dir, parts=True)
+    status = Collection(trees.lines, taxa=trees.taxa.where("taxon % 7 <> 3")).status
+    return status.groupBy("status").agg(F.count("*").alias("n_trees"))
+
+
+#: A tree for each month of shipping: suppliers by their largest price. Sets are 128-bit numbers here, for up to 126 suppliers.
+SUPPLIERS = """
+cell AS (SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS tree_id, l_suppkey AS taxon, max(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2),
+gene_leaf AS (SELECT tree_id, taxon, row_number() OVER (PARTITION BY tree_id ORDER BY m DESC, taxon) - 1 AS pos FROM cell),
+sizes AS (SELECT tree_id, count(*) AS k FROM gene_leaf GROUP BY 1),
+member AS (SELECT tree_id, lvl, pos >> (lvl + 1) AS blk, (pos >> lvl) & 1 AS side, CAST(1 AS HUGEINT) << CAST(taxon AS HUGEINT) AS m FROM gene_leaf, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS lvl)),
+split AS (SELECT tree_id, lvl, blk, bit_or(CASE WHEN side = 0 THEN m ELSE CAST(0 AS HUGEINT) END) AS l, bit_or(CASE WHEN side = 1 THEN m ELSE CAST(0 AS HUGEINT) END) AS r FROM member GROUP BY 1, 2, 3 HAVING count(DISTINCT side) = 2),
+occurrence AS (SELECT tree_id, least(l, r) AS a, greatest(l, r) AS b, blk << (lvl + 1) AS s, (blk << (lvl + 1)) + (1 << lvl) AS mid, least((blk + 1) << (lvl + 1), k) AS e FROM split JOIN sizes USING (tree_id)),
+dsplit AS (SELECT a, b, count(*) AS freq, min({'t': tree_id, 's': s, 'm': mid, 'e': e}) AS f FROM occurrence GROUP BY 1, 2)"""
+
+
+@query(SUPPLIERS + OVERLAPS + " SELECT f.t AS tree_id, CAST(f.s AS BIGINT) AS first_leaf, CAST(f.m AS BIGINT) AS middle, CAST(f.e AS BIGINT) AS end_leaf, freq, weight FROM weight JOIN dsplit USING (a, b)")
+def supplier_split_weights(spark, sf_dir):
+    """Weights where taxa are many, as many as suppliers: sets of several words, or hashes and leaf orders."""
+    trees = derived_trees(spark, sf_dir, "supplier")
+    at = lambda c, name: F.col(f"first.{c}").cast("long").alias(name)
+    return trees.splits.join(trees.weights, ["a", "b"]).select(F.col("first.tree_id").alias("tree_id"), at("start", "first_leaf"), at("mid", "middle"), at("end", "end_leaf"), "freq", "weight")

@@ -14,6 +14,11 @@ from cladeworks.session import settle
 from cladeworks.sources import derived, newick
 
 
+#: With more taxa, sets are known by hashes. A split's weight is computed from sets, or, if the sets' words are that many
+#: times those of the trees' leaf orders, along these orders.
+MASKED, WORDS_AN_ORDER = 630, 16
+
+
 @dataclass(frozen=True)
 class Options:
     """How lines are read and branches annotated; ``support`` of None leaves branches plain."""
@@ -40,7 +45,7 @@ class Collection:
 
     @cached_property
     def _parsed(self) -> newick.Parsed:
-        return newick.parse(self.lines, self.options.internal_labels)
+        return newick.parse(self.lines, self.options.internal_labels, self._taxa)
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -67,7 +72,8 @@ class Collection:
 
     @cached_property
     def words(self) -> int:
-        return bits.words(self.n_taxa)
+        """Words of a set, or HASHED."""
+        return bits.words(self.n_taxa) if self.n_taxa <= MASKED else bits.HASHED
 
     @cached_property
     def order(self) -> DataFrame:
@@ -75,14 +81,22 @@ class Collection:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return settle(splits.node_splits(self.tokens, self.taxa, self.n_taxa), "nodes")
+        return settle(splits.node_splits(self.tokens, self.taxa, self.words), "nodes")
 
     @cached_property
     def splits(self) -> DataFrame:
         return settle(splits.frequencies(self.nodes), "splits")
 
+    @cached_property
+    def by_order(self) -> bool:
+        """Whether weights are computed along leaf orders: with hashed sets, or if distinct splits are too many to meet each other."""
+        trees = self.status.where("status = 'ok'").count()
+        return self.words == bits.HASHED or self.splits.count() * self.words > WORDS_AN_ORDER * trees * self.n_taxa
+
     @cached_property
     def weights(self) -> DataFrame:
+        if self.by_order:
+            return settle(weights.weights_by_ranges(self.splits, settle(weights.tree_arrays(self.order, self.nodes), "orders")), "weights")
         return settle(weights.weights(self.splits, self.splits, self.words), "weights")
 
     @cached_property
@@ -101,6 +115,8 @@ class Collection:
 
     def branches(self, tree: DataFrame) -> DataFrame:
         """branch, f1, f2, f3, n, possible and the support of each inner branch of a tree (u, a, b)."""
+        if self.words == bits.HASHED:
+            raise ValueError(f"branch support needs sets of members, which there are for up to {MASKED} taxa")
         every = self.taxa.agg(*(F.bit_or(w).alias(f"w{i}") for i, w in enumerate(bits.singleton(F.col("taxon"), self.words))))
         every = every.select(bits.key([F.col(f"w{i}") for i in range(self.words)]).alias("mask"))
         quads = quartets.quadripartitions(tree, every, self.words)
@@ -113,7 +129,7 @@ def infer_species_tree(lines: DataFrame, options: Options = Options()) -> DataFr
     """newick, score, n_trees, is_complete: the tree whose splits agree most with the triplets of (tree_id, newick) lines.
 
     Taxa are the labels of accepted trees. Unless the first largest tree has all of them (is_complete), the result
-    lacks those that it lacks. With ``support``, inner branches are annotated from quartet frequencies.
+    lacks those that it lacks. With ``support``, inner branches are annotated from quartet frequencies, and have lengths.
     """
     trees = Collection(lines, options)
     tree = trees.solved.where("in_tree").select(F.lit(0).alias("tree_id"), "u", "a", "b", "score")
@@ -121,14 +137,19 @@ def infer_species_tree(lines: DataFrame, options: Options = Options()) -> DataFr
     if options.support:
         found = trees.branches(tree.select("u", "a", "b")).where("n >= 1")
         note = support.annotation(options.support, F.col("posterior"), F.col("length"), F.col("p_value"), [F.col(c) for c in ("f1", "f2", "f3")], F.col("n"))
-        rows = tree.join(found.select(F.col("branch").alias("u"), note.alias("note")), "u", "left")
+        rows = tree.join(found.select(F.col("branch").alias("u"), note.alias("note"), "length"), "u", "left")
     text = dp.newick(rows, trees.taxa, trees.words)
     top = tree.agg(F.max("score").alias("score")).crossJoin(trees.status.agg(F.count_if(F.col("status") == "ok").alias("n_trees"))).crossJoin(trees.root.select("is_complete"))
     return text.select("newick").crossJoin(top)
 
 
-def derived_trees(spark: SparkSession, sf_dir: str, taxa: str = "nation", shape: str = "dyadic", monthly: bool = False) -> Collection:
-    """The collection that orders and customers give; taxa keep the numbers of nations or regions."""
-    leaves = settle(derived.gene_leaves(spark, sf_dir, taxa, monthly), "gene-leaves")
-    names = leaves.select("taxon").distinct().select("taxon", F.concat(F.lit("T"), F.lpad(F.col("taxon").cast("string"), 2, "0")).alias("label"))
-    return Collection(derived.newick(leaves, shape), taxa=settle(names, "taxa"))
+def derived_trees(spark: SparkSession, sf_dir: str, taxa: str = "nation", shape: str = "dyadic", monthly: bool = False, parts: bool = False) -> Collection:
+    """The collection that orders and customers give, or a tree for each part, or trees of suppliers; taxa keep their numbers."""
+    if taxa == "supplier":
+        found = derived.supplier_leaves(spark, sf_dir)
+    else:
+        found = derived.part_leaves(spark, sf_dir) if parts else derived.gene_leaves(spark, sf_dir, taxa, monthly)
+    leaves = settle(found, "gene-leaves")
+    levels = max(1, (leaves.agg(F.max("pos")).first()[0] or 0).bit_length())
+    names = leaves.select("taxon").distinct().select("taxon", derived.label(F.col("taxon")).alias("label"))
+    return Collection(derived.newick(leaves, shape, levels), taxa=settle(names, "taxa"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
+from cladeworks.session import settle
 
 #: Trees of either side that meet in one task.
 TREES = 256
@@ -48,10 +49,13 @@ def _pairs(x, y):
 def all_pairs(splits: DataFrame, trees: DataFrame) -> DataFrame:
     """tree_1, tree_2, distance of each two of ``trees`` (tree_id): splits (tree_id, s) that only one of them has.
 
-    Trees meet in blocks. Splits of one word are compared as they are, longer ones by a 64-bit hash.
+    Trees meet in blocks. Splits of one word are compared as they are, longer ones by the number of the distinct split.
     """
     words = splits.schema["s"].dataType.fieldNames()
-    key = F.col(f"s.{words[0]}") if len(words) == 1 else F.xxhash64("s")
+    key = F.col(f"s.{words[0]}")
+    if len(words) > 1:
+        numbers = settle(splits.select("s").distinct().select("s", F.monotonically_increasing_id().alias("key")), "split-numbers")
+        splits, key = splits.join(numbers, "s"), F.col("key")
     sets = trees.select("tree_id").distinct().join(splits.groupBy("tree_id").agg(F.collect_list(key).alias("keys")), "tree_id", "left")
     sets = sets.select(F.col("tree_id").cast("long").alias("tree_id"), F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
     return against(sets, sets, _pairs, "tree_1 long, tree_2 long, distance long", (TREES, TREES))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
-from cladeworks.session import settle
+from cladeworks.session import folder, settle
 
-#: Most candidate splits that one task solves; more are solved in rounds of joins.
+#: Candidate splits that one task solves at a time; clusters of one size with more are solved by all tasks.
 ONE_TASK = 200_000
 
 
@@ -23,114 +23,149 @@ def best_local(weighted: DataFrame, n: int) -> DataFrame:
     return candidates(weighted, n).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def _solve(rows):
-    """All clusters by ascending size; then, from each root, the splits that make its tree."""
+def _band(rows):
+    """The best split of each cluster of a band of sizes, the smallest clusters first; parts below the band bring their scores."""
     import pyarrow as pa
 
-    number = lambda m: sum(w << 63 * i for i, w in enumerate(m.values()))
-    options: dict[int, list] = {}
-    words: dict[int, dict] = {}
-    roots: set[int] = set()
+    key = lambda m: tuple(m.values())
+    options: dict[tuple, list] = {}
+    size: dict[tuple, int] = {}
+    words: dict[tuple, dict] = {}
+    names = ("u", "a", "b", "su", "weight", "below_a", "below_b")
     for batch in rows:
-        for u, a, b, weight, root in zip(*(batch.column(c).to_pylist() for c in ("u", "a", "b", "weight", "is_root")), strict=True):
-            key = tuple(map(number, (u, a, b)))
-            words |= dict(zip(key, (u, a, b), strict=True))
-            if root:
-                roots.add(key[0])
-            options.setdefault(key[0], []).append((weight, key[1], key[2]))
-    score: dict[int, int] = {}
-    choice: dict[int, tuple] = {}
-    order = lambda m: tuple(words[m].values())
-    for u in sorted(options, key=int.bit_count):
-        of = [((w if u.bit_count() > 2 else 0) + score.get(a, 0) + score.get(b, 0), a, b) for w, a, b in options[u]]
-        best = max(s for s, *_ in of)
-        choice[u] = min(((a, b) for s, a, b in of if s == best), key=lambda p: (order(p[0]), order(p[1])))
-        score[u] = best if u.bit_count() > 2 else 0
-    chosen, left = set(), list(roots)
-    while left:
-        u = left.pop()
-        if u.bit_count() > 1:
-            if u not in choice:
-                raise ValueError("no candidate split for a cluster of the tree")
-            chosen.add(u)
-            left += choice[u]
-    columns = [[words[u] for u in choice], [words[a] for a, _ in choice.values()], [words[b] for _, b in choice.values()]]
+        for u, a, b, su, weight, below_a, below_b in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            ku, ka, kb = map(key, (u, a, b))
+            words |= {ku: u, ka: a, kb: b}
+            size[ku] = su
+            options.setdefault(ku, []).append((weight, ka, kb, below_a, below_b))
+    score: dict[tuple, int] = {}
+    choice: dict[tuple, tuple] = {}
+    for u in sorted(options, key=size.__getitem__):
+        of = [(w + (score.get(a, 0) if x is None else x) + (score.get(b, 0) if y is None else y) if size[u] > 2 else 0, a, b) for w, a, b, x, y in options[u]]
+        score[u] = max(s for s, *_ in of)
+        choice[u] = min((a, b) for s, a, b in of if s == score[u])
     kind = pa.struct([(k, pa.int64()) for k in next(iter(words.values()), {"w0": 0})])
-    arrays = [pa.array(c, kind) for c in columns] + [pa.array([score[u] for u in choice], pa.int64()), pa.array([u in chosen for u in choice])]
-    yield pa.record_batch(arrays, names=["u", "a", "b", "score", "in_tree"])
+    columns = [[words[u] for u in choice], [words[a] for a, _ in choice.values()], [words[b] for _, b in choice.values()]]
+    sizes = [pa.array([size[u] for u in choice], pa.int64()), pa.array([score[u] for u in choice], pa.int64())]
+    yield pa.record_batch([pa.array(c, kind) for c in columns] + sizes, names=["u", "a", "b", "su", "score"])
+
+
+def _bands(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """Sizes of clusters (size, number of candidates) in bands (least, greatest, candidates) of at most so many candidates, or of one size."""
+    out: list[tuple[int, int, int]] = []
+    for size, n in sizes:
+        if out and out[-1][2] + n <= most:
+            low, _, held = out.pop()
+            out.append((low, size, held + n))
+        else:
+            out.append((size, size, n))
+    return out
 
 
 def solve(weighted: DataFrame, roots: DataFrame, n: int, one_task: int = ONE_TASK) -> DataFrame:
     """u, a, b, score, in_tree: each cluster's best split and total, and whether it is part of a tree of ``roots`` (mask).
 
-    A cluster of two taxa or fewer scores 0. Of equal totals, the split with the smallest sets is taken. A cluster
-    of the tree that no candidate divides is an error.
+    A cluster of two taxa or fewer scores 0, and so does a part that no candidate divides; such a part of the tree is
+    an error. Of equal totals, the split with the smallest sets is taken. Clusters are solved by ascending size, band
+    by band, so that each band needs only the totals of those below: rounds are as many as bands, not as deep as
+    clusters nest. A band is one task's work if it has few candidates; one size with many is solved by all tasks.
     """
-    options = candidates(weighted, n).join(roots.select(F.col("mask").alias("u"), F.lit(True).alias("is_root")), "u", "left")
-    options = settle(options.withColumn("is_root", F.coalesce("is_root", F.lit(False))), "options")
-    if options.limit(one_task + 1).count() <= one_task:
-        kind = "struct<" + ",".join(f"w{i}:bigint" for i in range(n)) + ">"
-        return options.coalesce(1).mapInArrow(_solve, f"u {kind}, a {kind}, b {kind}, score long, in_tree boolean")
-    return _by_rounds(options, n)
-
-
-def _by_rounds(options: DataFrame, n: int) -> DataFrame:
-    """In each round the clusters are solved whose parts are all solved; then the tree is followed down from the roots."""
-    small = lambda c: bits.size(c, n)
-    clusters = options.select("u").distinct()
-    done = None
-    left = options.withColumn("sa", F.when(small("a") == 1, F.lit(0).cast("long"))).withColumn("sb", F.when(small("b") == 1, F.lit(0).cast("long")))
-    for part, s in (("a", "sa"), ("b", "sb")):  # a part that no candidate divides scores 0
-        known = clusters.select(F.col("u").alias(part), F.lit(True).alias("divided"))
-        left = left.join(known, part, "left").withColumn(s, F.when(F.col("divided").isNull(), F.coalesce(s, F.lit(0))).otherwise(F.col(s))).drop("divided")
-    left = settle(left, "left")
-    while not left.isEmpty():
-        ready = left.groupBy("u").agg(F.bool_and(F.col("sa").isNotNull() & F.col("sb").isNotNull()).alias("ready")).where("ready").select("u")
-        own = left.join(ready, "u").withColumn("score", F.when(small("u") > 2, F.col("weight") + F.col("sa") + F.col("sb")).otherwise(F.lit(0)))
-        best = settle(own.groupBy("u").agg(F.min_by(F.struct("a", "b", "score", "is_root"), F.struct(-F.col("score"), "a", "b")).alias("x")).select("u", "x.*"), "best")
-        done = best if done is None else done.union(best)
-        left = left.join(best.select("u"), "u", "left_anti")
-        for part, s in (("a", "sa"), ("b", "sb")):
-            left = left.join(best.select(F.col("u").alias(part), F.col("score").alias("new")), part, "left").withColumn(s, F.coalesce(s, "new")).drop("new")
-        left = settle(left.select(*options.columns, "sa", "sb"), "left")
-    done = settle(done, "done")
-    wave = done.where("is_root").select("u", "a", "b")
-    tree = wave
-    while not wave.isEmpty():
-        below = wave.select(F.explode(F.array("a", "b")).alias("u"))
-        wave = settle(below.join(done.select("u", "a", "b"), "u"), "wave")
-        tree = tree.union(wave)
-    return done.join(tree.select("u", F.lit(True).alias("in_tree")).distinct(), "u", "left").select("u", "a", "b", "score", F.coalesce("in_tree", F.lit(False)).alias("in_tree"))
-
-
-def _emit(names: dict[int, str], n: int):
-    def run(rows):
-        import pyarrow as pa
-
-        number = lambda m: sum(w << 63 * i for i, w in enumerate(m.values()))
-        splits = {}
-        for u, a, b, note in zip(*(rows[c].to_pylist() for c in ("u", "a", "b", "note")), strict=True):
-            splits[number(u)] = (number(a), number(b), note or "")
-        done: dict[int, tuple[str, str]] = {}  # set -> (smallest label, text)
-        text = lambda m: done[m] if m.bit_count() > 1 else (names[m.bit_length() - 1],) * 2
-        for u in sorted(splits, key=int.bit_count):
-            a, b, note = splits[u]
-            (first, x), (second, y) = sorted([text(a), text(b)])
-            done[u] = (min(first, second), f"({x},{y}){note}")
-        top = max(splits, key=int.bit_count)
-        return pa.table({"tree_id": rows["tree_id"][:1], "newick": pa.array([done[top][1] + ";"])})
-
-    return run
+    options = candidates(weighted, n).withColumn("su", bits.size("u", n))
+    options = settle(options.repartitionByRange("su").sortWithinPartitions("su"), "options")
+    bands = _bands([tuple(r) for r in options.groupBy("su").count().orderBy("su").collect()], one_task)  # a row for each size
+    schema, spark, solved = f"u {bits.kind(n)}, a {bits.kind(n)}, b {bits.kind(n)}, su long, score long", weighted.sparkSession, folder(weighted.sparkSession, "solved")
+    done = spark.createDataFrame([], schema)
+    for k, (low, high, size) in enumerate(bands):
+        own = options.where(F.col("su").between(low, high))
+        for part in "ab":
+            below = done.select(F.col("u").alias(part), F.col("score").alias(f"below_{part}"))
+            own = own.join(below, part, "left") if k else own.withColumn(f"below_{part}", F.lit(None).cast("long"))
+        own = own.select("u", "a", "b", "su", "weight", "below_a", "below_b")
+        if size <= one_task:
+            best = own.coalesce(1).mapInArrow(_band, schema)
+        else:
+            total = F.when(F.col("su") > 2, F.col("weight") + F.coalesce("below_a", F.lit(0)) + F.coalesce("below_b", F.lit(0))).otherwise(F.lit(0))
+            best = own.withColumn("score", total).groupBy("u").agg(F.min_by(F.struct("a", "b", "su", "score"), F.struct(-F.col("score"), "a", "b")).alias("x")).select("u", "x.*")
+        best.write.parquet(f"{solved}/band={k}")
+        done = spark.read.schema(schema).parquet(f"{solved}/band=*")
+    tree = _follow(done, roots, [(low, high) for low, high, _ in bands], n)
+    return done.join(tree.select("u", F.lit(True).alias("in_tree")), "u", "left").select("u", "a", "b", "score", F.coalesce("in_tree", F.lit(False)).alias("in_tree"))
+
+
+def _chosen(rows):
+    """Of a band's clusters, the wanted ones and the parts of these that are in the band, the largest first."""
+    import pyarrow as pa
+
+    key = lambda m: tuple(m.values())
+    found: dict[tuple, tuple] = {}
+    wanted: set[tuple] = set()
+    for batch in rows:
+        for u, a, b, su, asked in zip(*(batch.column(c).to_pylist() for c in ("u", "a", "b", "su", "asked")), strict=True):
+            found[key(u)] = (u, a, b, su)
+            if asked:
+                wanted.add(key(u))
+    out = []
+    for u, row in sorted(found.items(), key=lambda x: -x[1][3]):
+        if u in wanted:
+            out.append(row)
+            wanted |= {key(row[1]), key(row[2])}
+    kind = pa.struct([(k, pa.int64()) for k in next((r[0] for r in found.values()), {"w0": 0})])
+    yield pa.record_batch([pa.array([r[i] for r in out], kind) for i in range(3)], names=["u", "a", "b"])
+
+
+def _follow(done: DataFrame, roots: DataFrame, bands: list[tuple[int, int]], n: int) -> DataFrame:
+    """u, a, b of the clusters of the trees below ``roots``, the bands of sizes from the greatest down."""
+    spark, schema, path = done.sparkSession, f"u {bits.kind(n)}, a {bits.kind(n)}, b {bits.kind(n)}", folder(done.sparkSession, "tree")
+    wanted = roots.select(F.col("mask").alias("u"))
+    tree = spark.createDataFrame([], schema)
+    for k, (low, high) in enumerate(reversed(bands)):
+        own = done.where(F.col("su").between(low, high)).join(wanted.distinct().withColumn("asked", F.lit(True)), "u", "left")
+        if low == high:
+            own = own.where("asked").select("u", "a", "b")
+        else:
+            own = own.select("u", "a", "b", "su", F.coalesce("asked", F.lit(False)).alias("asked")).coalesce(1).mapInArrow(_chosen, schema)
+        own.write.parquet(f"{path}/band={k}")
+        tree = spark.read.schema(schema).parquet(f"{path}/band=*")
+        wanted = roots.select(F.col("mask").alias("u")).union(tree.select(F.explode(F.array("a", "b")).alias("u")))
+    open_parts = wanted.where(bits.size("u", n) > 1).join(tree.select("u"), "u", "left_anti")
+    if not open_parts.isEmpty():
+        raise ValueError("no candidate split for a cluster of the tree")
+    return tree
+
+
+def _emit(rows):
+    import pyarrow as pa
+
+    key = lambda m: tuple(m.values())
+    splits, parts = {}, set()
+    for u, a, b, left, right, note, length in zip(*(rows[c].to_pylist() for c in ("u", "a", "b", "left", "right", "note", "length")), strict=True):
+        after = f":{length:.6f}" if length and length > 0 and ":" not in (note or "") else ""
+        splits[key(u)] = (key(a), key(b), left, right, (note or "") + after)
+        parts |= {key(a), key(b)}
+    done: dict[tuple, tuple[str, str]] = {}  # set -> (smallest label, text)
+    open_sets = [u for u in splits if u not in parts]
+    top = open_sets[0]
+    while open_sets:
+        u = open_sets[-1]
+        a, b, left, right, note = splits[u]
+        if later := [x for x, label in ((a, left), (b, right)) if label is None and x not in done]:
+            open_sets += later
+            continue
+        open_sets.pop()
+        (first, x), (second, y) = sorted([(left, left) if left is not None else done[a], (right, right) if right is not None else done[b]])
+        done[u] = (first, f"({x},{y}){note}")
+    return pa.table({"tree_id": rows["tree_id"][:1], "newick": pa.array([done[top][1] + ";"])})
 
 
 def newick(trees: DataFrame, taxa: DataFrame, n: int) -> DataFrame:
     """tree_id, newick from rows (tree_id, u, a, b, note) of each tree's splits; note is text after a node, or null.
 
-    Of two parts, the one with the smaller label comes first. Needs the labels in each task, so at most a million taxa.
+    With a column length, it follows the note with six decimals, if it is above 0 and the note has no colon. Of two
+    parts, the one with the smaller label comes first. Labels are joined to the leaves; a task writes a whole tree.
     """
-    names = {r.taxon: r.label for r in taxa.limit(1_000_001).toLocalIterator()}
-    if len(names) > 1_000_000:
-        raise ValueError("more than a million taxa")
-    held = trees.sparkSession.sparkContext.broadcast(names)
+    length = F.col("length").cast("double") if "length" in trees.columns else F.lit(None).cast("double")
+    rows = trees.select("tree_id", "u", "a", "b", "note", length.alias("length"))
+    for part, name in (("a", "left"), ("b", "right")):
+        rows = rows.join(taxa.select(bits.key(bits.singleton(F.col("taxon"), n)).alias(part), F.col("label").alias(name)), part, "left")
     kind = dict(trees.dtypes)["tree_id"]
-    return trees.select("tree_id", "u", "a", "b", "note").groupBy("tree_id").applyInArrow(lambda t: _emit(held.value, n)(t), f"tree_id {kind}, newick string")
+    return rows.select("tree_id", "u", "a", "b", "left", "right", "note", "length").groupBy("tree_id").applyInArrow(_emit, f"tree_id {kind}, newick string")

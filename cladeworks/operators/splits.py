@@ -25,28 +25,33 @@ def leaf_order(leaves: DataFrame, taxa: DataFrame) -> DataFrame:
     return leaves.join(_hint(taxa), "label").select("tree_id", "taxon", F.col("pos").cast("long").alias("pos"))
 
 
-def node_splits(tokens: DataFrame, taxa: DataFrame, n_taxa: int) -> DataFrame:
-    """tree_id, start, mid, end, left, right of each internal node: its leaf interval, and its two sides as sets.
+def node_splits(tokens: DataFrame, taxa: DataFrame, n: int) -> DataFrame:
+    """tree_id, start, mid, end, left, right of each internal node: its leaf interval, and its two sides as sets (of n words, or hashed).
 
     A running XOR of single-taxon sets is the set of all leaves so far; a side is the difference of two of these, so
-    no leaf is ever joined to a node.
+    no leaf is ever joined to a node. A hashed set's size is the length of its interval.
     """
-    n = bits.words(n_taxa)
     own = tokens.where("tok in ('(', ',', ')') or leaf").join(_hint(taxa), (F.col("tok") == F.col("label")) & F.col("leaf"), "left")
     upto = Window.partitionBy("tree_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     none = F.lit(0).cast("long")
-    runs = [F.bit_xor(F.coalesce(F.when(F.col("leaf"), w), none)).over(upto).alias(f"x{i}") for i, w in enumerate(bits.singleton(F.col("taxon"), n))]
+    one = bits.singleton(F.col("taxon"), n)[: n or 2]
+    runs = [F.bit_xor(F.coalesce(F.when(F.col("leaf"), w), none)).over(upto).alias(f"x{i}") for i, w in enumerate(one)]
     rows = own.select("tree_id", "tok", "depth", "node", "leaves", *runs).where("tok in ('(', ',', ')')")
     at = lambda t, c: F.max(F.when(F.col("tok") == t, F.col(c)))
     names = [("(", "s"), (",", "m"), (")", "e")]
-    nodes = rows.groupBy("tree_id", "depth", "node").agg(*(at(t, "leaves").alias(k) for t, k in names), *(at(t, f"x{i}").alias(f"{k}{i}") for t, k in names for i in range(n)))
-    side = lambda a, b: bits.key([F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(n)])
+    nodes = rows.groupBy("tree_id", "depth", "node").agg(*(at(t, "leaves").alias(k) for t, k in names), *(at(t, f"x{i}").alias(f"{k}{i}") for t, k in names for i in range(len(one))))
+
+    def side(a: str, b: str):
+        words = [F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(len(one))]
+        return bits.key(words + [(F.col(b) - F.col(a)).cast("long")] * (n == bits.HASHED))
+
     return nodes.select("tree_id", F.col("s").alias("start"), F.col("m").alias("mid"), F.col("e").alias("end"), side("s", "m").alias("left"), side("m", "e").alias("right"))
 
 
 def frequencies(nodes: DataFrame) -> DataFrame:
-    """a, b, freq: distinct splits, the smaller set first, and how often each occurs; tree_id of the first."""
-    return nodes.groupBy(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).agg(F.count("*").alias("freq"), F.min("tree_id").alias("first_tree"))
+    """a, b, freq: distinct splits, the smaller set first, and how often each occurs; first: tree_id, start, mid, end of its first occurrence."""
+    first = F.min(F.struct("tree_id", "start", "mid", "end")).alias("first")
+    return nodes.groupBy(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).agg(F.count("*").alias("freq"), first)
 
 
 def clusters(splits: DataFrame, n: int) -> DataFrame:

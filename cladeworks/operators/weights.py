@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
+from cladeworks.session import settle
 
 #: Rows of candidates and of splits that meet in one task; trees of a block for trees with many taxa.
 BLOCK, TREES = 4096, 64
@@ -45,8 +47,8 @@ def weights(candidates: DataFrame, splits: DataFrame, n: int) -> DataFrame:
 
     Sets are compared as words of bits, block by block; sums are exact up to 2**63.
     """
-    kind = "struct<" + ",".join(f"w{i}:bigint" for i in range(n)) + ">"
-    parts = against(candidates.select("a", "b"), splits.select("a", "b", "freq"), _masks(n), f"a {kind}, b {kind}, part long", (BLOCK, BLOCK))
+    block = max(64, BLOCK * 16 // (n + 15))  # of sets, about as many bytes whatever their words
+    parts = against(candidates.select("a", "b"), splits.select("a", "b", "freq"), _masks(n), f"a {bits.kind(n)}, b {bits.kind(n)}, part long", (block, block))
     found = parts.groupBy("a", "b").agg(F.sum("part").alias("weight"))
     return candidates.select("a", "b").join(found, ["a", "b"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
@@ -98,3 +100,52 @@ def tree_arrays(order: DataFrame, nodes: DataFrame) -> DataFrame:
     spans = nodes.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("start", "mid", "end"))).alias("s"))
     field = lambda c: F.transform("s", lambda x: x[c]).alias(c)
     return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans, "tree_id").select("tree_id", "order", *map(field, ("start", "mid", "end")))
+
+
+#: Candidates whose running counts are made at a time.
+AT_ONCE = 32
+
+
+def _ranges(one, trees):
+    import numpy as np
+    import pyarrow as pa
+
+    orders = [(np.array(o, np.int64), *(np.array(x, np.int64) for x in (s, m, e))) for o, s, m, e in zip(*(trees[c].to_pylist() for c in ("order", "start", "mid", "end")), strict=True)]
+    n = 1 + max((int(o.max()) for o, *_ in orders if len(o)), default=0)
+    ids, totals = [], []
+    for number, order, start, mid, end in zip(*(one[c].to_pylist() for c in ("ids", "own", "start", "mid", "end")), strict=True):
+        order, n_all = np.array(order, np.int64), n
+        n_all = max(n, 1 + int(order.max()))
+        for i in range(0, len(number), AT_ONCE):
+            cut = list(zip(start[i : i + AT_ONCE], mid[i : i + AT_ONCE], end[i : i + AT_ONCE], strict=True))
+            sides = np.zeros((2, len(cut), n_all), np.int32)
+            for k, (s, m, e) in enumerate(cut):
+                sides[0, k, order[s:m]] = 1
+                sides[1, k, order[m:e]] = 1
+            total = np.zeros(len(cut), np.int64)
+            for o, s, m, e in orders:
+                runs = np.zeros((2, len(cut), len(o) + 1), np.int32)
+                np.cumsum(sides[:, :, o], axis=2, out=runs[:, :, 1:])
+                at_mid = runs[:, :, m]
+                first, last = at_mid - runs[:, :, s], runs[:, :, e] - at_mid
+                for p, q in ((first[0], last[1]), (last[0], first[1])):
+                    p, q = p.astype(np.int64), q.astype(np.int64)
+                    total += (p * q * (p + q - 2) // 2).sum(1)
+            ids += number[i : i + AT_ONCE]
+            totals.append(total)
+    return pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array(np.concatenate(totals) if totals else np.zeros(0, np.int64))})
+
+
+def weights_by_ranges(splits: DataFrame, trees: DataFrame) -> DataFrame:
+    """a, b, weight of each distinct split (a, b, first) over trees (tree_id, order, start, mid, end arrays), as ``weights`` gives them.
+
+    The way for many taxa: memory is that of the trees' leaf orders. A split is an interval of the order of the first
+    tree that has it; splits of one tree travel together with its order, and meet the trees in blocks. Running counts
+    of a split's sides along a tree's order give its overlaps with all of the tree's splits at once.
+    """
+    numbered = settle(splits.select("a", "b", "first", F.monotonically_increasing_id().alias("id")), "numbered-splits")
+    own = numbered.groupBy(F.col("first.tree_id").alias("tree_id"), F.pmod("id", F.lit(8)).alias("deal")).agg(F.array_sort(F.collect_list(F.struct("id", "first.start", "first.mid", "first.end"))).alias("s"))
+    field = lambda c: F.transform("s", lambda x: x[c])
+    one = own.join(trees.select("tree_id", F.col("order").alias("own")), "tree_id").select(field("id").alias("ids"), "own", *(field(c).alias(c) for c in ("start", "mid", "end")))
+    parts = against(settle(one, "candidates"), trees.select("order", "start", "mid", "end"), _ranges, "id long, part long", (TREES, TREES))
+    return numbered.join(parts.groupBy("id").agg(F.sum("part").alias("weight")), "id").select("a", "b", "weight")

@@ -37,6 +37,18 @@ def one_line(text: Column) -> Column:
     return F.concat(F.regexp_replace(F.trim(bare), ";+$", ""), F.lit(";"))
 
 
+def reorganize(spark: SparkSession, root: str, out: str, mode: str = "ignore") -> list[str]:
+    """Replicates ``root``/N with both all_gt.tre and s_tree.trees, as ``out``/all_gt and ``out``/s_tree, partitioned by replicate=RN.
+
+    Gene trees lose the suffix of their labels; nothing is deleted. Returns the replicates, in the order of their numbers.
+    """
+    gene, species = (spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", "true").text(root).select("value", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)/[^/]+$", 1).alias("n")).where("n <> ''") for name in ("all_gt.tre", "s_tree.trees"))
+    both = settle(gene.select("n").distinct().join(species.select("n").distinct(), "n").select("n", F.concat(F.lit("R"), "n").alias("replicate")), "replicates")
+    for rows, name, value in ((gene, "all_gt", drop_label_suffix(F.col("value"))), (species, "s_tree", F.col("value"))):
+        rows.join(F.broadcast(both), "n").select(value.alias("value"), "replicate").write.mode(mode).partitionBy("replicate").text(f"{out}/{name}")
+    return [r.replicate for r in both.orderBy(F.col("n").cast("long")).toLocalIterator()]
+
+
 def drop_label_suffix(newick: Column, suffix: str = "_0_0") -> Column:
     return F.replace(newick, F.lit(suffix), F.lit(""))
 
@@ -58,13 +70,14 @@ def leaves(tokens: DataFrame) -> DataFrame:
     return tokens.where("leaf").select("tree_id", (F.col("leaves") - 1).alias("pos"), F.col("tok").alias("label"))
 
 
-def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
+def parse(lines: DataFrame, internal_labels: str = "ignore", taxa: DataFrame | None = None) -> Parsed:
     """Parse (tree_id, newick) lines; no tree is built, nodes are intervals of leaf positions. Tokens are written at once.
 
     Accepted are rooted binary trees, one a line, with or without lengths, comments and a semicolon, and single
     leaves. Null and blank lines are passed over. A label after ``)`` is a support value, which is ignored, or makes
     the tree unfit (``internal_labels='reject'``). Not accepted, with their status: ``label`` (empty, or internal),
-    ``duplicate`` labels, ``unbalanced`` or surplus parts, ``not_binary``.
+    ``duplicate`` labels, ``unbalanced`` or surplus parts, ``not_binary``; and ``unknown`` if a dictionary ``taxa``
+    (label) is given and a leaf is not in it.
     """
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("newick", r"\[[^\]]*\]", ""), r"\s", ""), ":[^,();]*", "")
     rows = lines.where(F.trim("newick") != "").select("tree_id", F.posexplode(F.regexp_extract_all(text, F.lit("[(),;]|[^(),;]+"), F.lit(0))).alias("i", "tok"))
@@ -92,16 +105,20 @@ def parse(lines: DataFrame, internal_labels: str = "ignore") -> Parsed:
         F.max("leaves").alias("n_leaves"), F.count_distinct(F.when(F.col("leaf"), F.col("tok"))).alias("labels"), F.bool_or("internal").alias("internal"),
         F.bool_or("misplaced").alias("misplaced"), F.sum(opens - closes).alias("open"), F.sum((F.col("tok") == ";").cast("int")).alias("ends"),
     )
-    both = per_tree.join(per_node, "tree_id", "left")
+    both = per_tree.join(per_node, "tree_id", "left").withColumn("strange", F.lit(False))
+    if taxa is not None:
+        strange = tokens.where("leaf").join(taxa.select(F.col("label").alias("tok")), "tok", "left_anti").select("tree_id").distinct()
+        both = both.drop("strange").join(strange.withColumn("strange", F.lit(True)), "tree_id", "left")
     whole = (F.col("roots") == 1) & (F.col("start") == 0) & (F.col("end") == F.col("n_leaves")) & F.col("paired")
     status = (
         F.when((F.col("open") != 0) | (F.col("ends") > 1), "unbalanced")
         .when(F.col("internal") & F.lit(internal_labels == "reject"), "label")
         .when(F.col("n_leaves") == 0, "label")
-        .when(F.col("roots").isNull(), F.when((F.col("n_leaves") == 1) & ~F.col("misplaced"), "ok").otherwise("unbalanced"))
+        .when(F.col("roots").isNull(), F.when((F.col("n_leaves") == 1) & ~F.col("misplaced"), F.when(F.coalesce("strange", F.lit(False)), "unknown").otherwise("ok")).otherwise("unbalanced"))
         .when(~whole, "unbalanced")
         .when(~F.col("binary"), "not_binary")
         .when(F.col("misplaced"), "label")
+        .when(F.coalesce("strange", F.lit(False)), "unknown")
         .when(F.col("labels") < F.col("n_leaves"), "duplicate")
         .otherwise("ok")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cladeworks.functions import bits
 from cladeworks.operators import splits
 from cladeworks.sources import newick
 
@@ -23,9 +24,7 @@ def start(spark: SparkSession, folder: str, out: str, checkpoint: str, taxa: Dat
 
     def count(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("tree_id"), F.col("value").alias("newick"))
-        tokens = newick.parse(rows).tokens
-        strange = newick.leaves(tokens).join(taxa, "label", "left_anti").select("tree_id").distinct()
-        nodes = splits.node_splits(tokens.join(strange, "tree_id", "left_anti"), taxa, n_taxa)
+        nodes = splits.node_splits(newick.parse(rows, taxa=taxa).tokens, taxa, bits.words(n_taxa))
         splits.frequencies(nodes).select("a", "b", "freq").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

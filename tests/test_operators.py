@@ -1,15 +1,20 @@
 """Weights, species trees, quartets, support and distances against brute force on random trees."""
 
+import ast
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits, support
-from cladeworks.jobs.trees import Collection, infer_species_tree
+from cladeworks.jobs import reports
+from cladeworks.jobs import trees as jobs
+from cladeworks.jobs.trees import Collection, Options, infer_species_tree
 from cladeworks.operators import compare, dp, quartets, weights
+from cladeworks.sources import stats
 
 
 def random_tree(rng, labels):
@@ -88,7 +93,7 @@ def brute_best(options):
     return {u: best(u) for u in options}
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
+@pytest.mark.parametrize("one_task", [0, 20, 10**6])
 def test_species_tree(collection, one_task):
     trees, c = collection
     options = {}
@@ -136,6 +141,89 @@ def test_many_taxa(spark):
     assert best.newick.count(",") == 149
 
 
+def test_hashed_sets(spark, monkeypatch):
+    """The way for many taxa: sets known by hashes, weights along leaf orders; the same weights, scores, trees and distances."""
+    rng = random.Random(21)
+    base = random_tree(rng, LABELS[:40])
+    trees = [base] * 5 + [random_tree(rng, LABELS[: rng.choice([30, 40])]) for _ in range(5)]
+    one = Collection(lines(spark, trees))
+    assert one.words == 1 and not one.by_order
+    monkeypatch.setattr(jobs, "MASKED", 10)
+    two = Collection(one.lines, taxa=one.taxa)
+    assert two.words == bits.HASHED and two.by_order
+    weight = lambda c: sorted((r.freq, r.weight) for r in c.splits.join(c.weights, ["a", "b"]).collect())
+    assert weight(one) == weight(two) and one.splits.count() == two.splits.count()
+    scores = lambda c: sorted(r.score for r in c.solved.collect())
+    assert scores(one) == scores(two)
+    found = infer_species_tree(one.lines).first()
+    monkeypatch.undo()
+    want = infer_species_tree(one.lines).first()
+    assert (found.score, found.is_complete) == (want.score, want.is_complete) and found.newick.count(",") == 39
+    whole = {i for i, t in enumerate(trees) if len(leaves(t)) == 40}  # which side is the smaller one depends on the form of sets
+    pairs = lambda c: {(r.tree_1, r.tree_2): r.distance for r in compare.all_pairs(compare.unrooted(c.nodes, c.words), c.nodes).collect() if {r.tree_1, r.tree_2} <= whole}
+    assert pairs(one) == pairs(two)
+    with pytest.raises(ValueError):
+        two.branches(two.solved)
+
+
+def test_weights_along_orders_when_splits_differ(spark):
+    """Sets of several words, and splits too many to meet each other: the same weights."""
+    rng = random.Random(22)
+    trees = [random_tree(rng, LABELS[:70]) for _ in range(4)]
+    c = Collection(lines(spark, trees))
+    by_order = weights.weights_by_ranges(c.splits, weights.tree_arrays(c.order, c.nodes))
+    by_sets = weights.weights(c.splits, c.splits, c.words)
+    as_dict = lambda df: {(tuple(r.a), tuple(r.b)): r.weight for r in df.collect()}
+    assert as_dict(by_order) == as_dict(by_sets)
+
+
+def test_undivided_cluster_is_an_error(spark):
+    kind = "a struct<w0:bigint>, b struct<w0:bigint>, weight long"
+    weighted = spark.createDataFrame([((3,), (12,), 5), ((1,), (2,), 0)], kind)
+    root = spark.createDataFrame([((15,),)], "mask struct<w0:bigint>")
+    for one_task in (0, 100):
+        with pytest.raises(ValueError):
+            dp.solve(weighted, root, 1, one_task).collect()
+
+
+def test_score_of_the_tree_that_is_written(spark, collection):
+    """The tree parsed back from its text has the total score, and its branches have lengths."""
+    trees, c = collection
+    found = infer_species_tree(c.lines).first()
+    again = Collection(spark.createDataFrame([(0, found.newick)], "tree_id long, newick string"), taxa=c.taxa)
+    weight = {(tuple(r.a), tuple(r.b)): r.weight for r in c.weights.collect()}
+    assert sum(weight[tuple(r.a), tuple(r.b)] for r in again.splits.collect()) == found.score
+    plain, with_length, both = (infer_species_tree(c.lines, Options(support=k)).first().newick for k in ("posterior", "length", "both"))
+    assert len(re.findall(r"\)[0-9.]+:[0-9]+[.][0-9]{6}", plain)) >= 1 and len(re.findall(r"\)[0-9.]+:[0-9]+[.][0-9]{6}", with_length)) >= 1
+    assert not re.findall(r":[0-9.]+:", both) and re.findall(r"\)[0-9.]+:[0-9.]+", both)
+
+
+def test_reports(spark, collection, tmp_path):
+    trees, c = collection
+    species = lines(spark, [trees[0]])
+    row = reports.dataset_discordance(c.lines, species, 6).first()
+    pairs = list(itertools.combinations(trees[:6], 2))
+    n = len(set().union(*map(leaves, trees[:6])))
+    norm = lambda x: min(1, x / (2 * (n - 3)))
+    assert row.n_pairs == 15 and row.n_trees == 6 and row.gene_gene == pytest.approx(sum(norm(plain_rf(*x)) for x in pairs) / 15, abs=1e-6)
+    assert row.gene_species == pytest.approx(sum(norm(plain_rf(t, trees[0])) for t in trees[:6]) / 6, abs=1e-6)
+    for bad in ((species, 0), (spark.createDataFrame([(0, "((a,b);")], "tree_id long, newick string"), 5)):
+        with pytest.raises(ValueError):
+            reports.dataset_discordance(c.lines, *bad)
+    found, record = reports.benchmark_record(spark, c.lines, species, "R1")
+    assert tuple(record.columns) == stats.BENCHMARK
+    stats.write(record, f"file://{tmp_path}/stat", stats.BENCHMARK)
+    back = spark.read.option("header", True).csv(f"file://{tmp_path}/stat").first()
+    assert float(back["rf-rate"]) == pytest.approx(plain_rf(trees[0], parsed(found.first().newick)) / (2 * (9 - 3)), abs=1e-6) and back["gene-trees"] == "13" and back["num-taxa"] == "9"
+    text = spark.createDataFrame([("none here",), ("RF is 0.25 of 12\nlast line: a b 7",), (None,)], "t string").select(stats.first_number(F.col("t")), stats.last_field(F.col("t"), "last line:")).collect()
+    assert [tuple(r) for r in text] == [(None, None), ("0.25", "7"), (None, None)]
+
+
+def parsed(newick):
+    """Nested pairs of a plain Newick text."""
+    return ast.literal_eval(re.sub(r"([^(),;]+)", r"'\1'", newick.rstrip(";")))
+
+
 def quartet_of(t, a, b, c, d):
     """1 for ab|cd, 2 for ac|bd, 3 for ad|bc where a node has two of the four on either side; else 0."""
     for x, y in nodes(t):
