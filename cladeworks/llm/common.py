@@ -22,7 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """doc_id, text (null: empty) and the columns named; any others are left behind, so their names can't clash."""
+    """doc_id, text (null: empty) and the columns named; any others are left behind, so their names can't clash.
+
+    A session that still has Spark's default of 10,000 rows in an Arrow batch gets ROWS: texts may be long, and each
+    task holds a batch on either side. Another setting stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
