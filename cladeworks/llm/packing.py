@@ -164,10 +164,12 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     Every token of every document (null text: only the end id) lies in exactly one piece. Each scan task packs the
     documents that it reads, so no text or token is shuffled; a task that is run again gives the same pieces.
     Sequences hold exactly 2048, 1024, 512 or 256 tokens (the tier); of each task's last tokens, fewer than 256,
-    shorter powers of two are made. Steps hold sequences of one task with like costs. Repeated rows are packed each.
+    shorter powers of two are made. Steps hold sequences of one task with like costs. Repeated rows are packed each;
+    texts of any length are cut into as many windows as they fill; an empty table gives none; other columns are left behind.
     """
     return texts(docs).select("doc_id", "text").mapInArrow(_pack(tokenizer), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences; cases as in ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"), tokens.default_path())

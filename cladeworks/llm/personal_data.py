@@ -131,6 +131,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; cases as in ``find_personal_data``."""
     rows = find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeworks.llm.common import table
+from cladeworks.llm.common import small, table
+from cladeworks.session import settle
 
 #: Headers of a not-modified answer that never replace stored ones (they describe the message, not the resource).
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
-#: Parts into which the time of all records is cut, so that one URL's records are dealt to as many tasks.
-SPANS = 64
+#: Times of a URL from which on they are dealt to spans, and the number of these.
+MOST_TIMES, SPANS = 10_000, 64
+#: Most such URLs whose names or cuts are broadcast; those of more are joined by a shuffle.
+MOST_HOT = 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -42,20 +45,30 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Repeated revisits are resolved each. Records whose ts is null count as revisits without a response, or are
     passed over as responses.
 
-    A URL's records are dealt to tasks by spans of time; what earlier spans end with is found from one row a span.
+    Only the last response of each time of a URL matters, so these are aggregated before anything is ordered. The times
+    of a URL with very many are dealt to spans between quantiles of its own times, and what earlier spans end with is
+    found from one row a span. An empty table gives none; records without a URL or time meet no other.
     """
     rows = records.select("record_id", "ts", "kind", "headers", canonical_url(F.col("url")).alias("canonical_url"))
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = 1 if low is None else (high - low) // SPANS + 1
-    rows = rows.withColumn("span", F.floor((F.col("ts") - F.lit(low or 0)) / width).cast("int"))
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.struct("ts", "record_id", "headers"))
-    rows = rows.withColumn("full", full)
-    earlier = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    spans = rows.where("canonical_url is not null and span is not null").groupBy("canonical_url", "span").agg(F.max("full").alias("full"))
-    before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("canonical_url", "span", F.max("full").over(before).alias("carried")).where("carried is not null")
-    found = rows.withColumn("here", F.max("full").over(earlier)).where("kind = 'revisit'").join(spans, ["canonical_url", "span"], "left")
-    found = found.withColumn("response", F.when(F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.coalesce("here", "carried")))
+    full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
+    times = rows.where("canonical_url is not null and ts is not null").groupBy("canonical_url", "ts").agg(F.max(full).alias("full"))
+    times = settle(times, "times")
+    hot = small(times.groupBy("canonical_url").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TIMES).select("canonical_url"), MOST_HOT, "hot-urls")
+    some = not hot.isEmpty()
+    if some:
+        cuts = F.percentile_approx("ts", [i / SPANS for i in range(1, SPANS)], 100 * SPANS).alias("cuts")
+        cuts = small(times.join(hot, "canonical_url", "left_semi").groupBy("canonical_url").agg(cuts), MOST_HOT, "cuts")
+        times = times.join(cuts, "canonical_url", "left").withColumn("span", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))), F.lit(0))).drop("cuts")
+    else:
+        times = times.withColumn("span", F.lit(0))
+    earlier = Window.partitionBy("canonical_url", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    times = times.withColumn("response", F.max("full").over(earlier))
+    if some:
+        spans = times.join(hot, "canonical_url", "left_semi").groupBy("canonical_url", "span").agg(F.max("full").alias("full"))
+        before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.select("canonical_url", "span", F.max("full").over(before).alias("carried"))
+        times = times.join(spans, ["canonical_url", "span"], "left").withColumn("response", F.coalesce("response", "carried"))
+    found = rows.where("kind = 'revisit'").join(times.select("canonical_url", "ts", "response"), ["canonical_url", "ts"], "left")
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     etag, date = _header(F.col("headers"), "etag"), _header(F.col("headers"), "last-modified")
     known, theirs = F.col("response.headers"), lambda n: _header(F.col("response.headers"), n)
@@ -89,6 +102,7 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each revisit derived from the pages refers to; cases as in ``resolve_revisits``."""
     found = resolve_revisits(page_records(table(spark, sf_dir, "pages")))
     lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ")
     return found.select("record_id", "canonical_url", "ts", "refers_to", "status", lines.alias("headers"))

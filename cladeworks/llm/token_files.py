@@ -47,7 +47,8 @@ def _encode(path: str):
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode whole texts and write them under ``path``, ascending by doc_id over the files and within each.
 
-    A null text is empty (the end id alone); null doc_ids come first, rows with one doc_id are ordered by text.
+    A null text is empty (the end id alone); null doc_ids come first, rows with one doc_id are ordered by text and
+    written each; texts of any length are one row; an empty table gives files without rows; other columns are left behind.
     Ids are dictionary-encoded, or delta-encoded in pages where a dictionary does not pay; the other columns are
     delta-encoded. Row groups and pages have fixed bounds, and each file has column and offset indexes.
     """

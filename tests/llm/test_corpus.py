@@ -157,7 +157,10 @@ def test_revisits_sql(spark, small, duck):
     assert rows(revisits.op5_revisits(spark, small).toPandas()) == rows(duck(revisits.OP5_SQL, small))
 
 
-def test_revisits(spark):
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_revisits(spark, monkeypatch, most):
+    monkeypatch.setattr(revisits, "MOST_TIMES", most)
+    monkeypatch.setattr(revisits, "SPANS", 4)
     h = lambda **kv: [{"name": k.replace("_", "-"), "value": v} for k, v in kv.items()]
     data = [
         (1, "http://www.A.org:80/x/?b=2&a=1&utm_source=q#f", 10, "response", h(content_length="9", etag='"1"', x="old")), (2, "https://a.org/x?a=1&b=2", 20, "revisit", h(content_length="0", etag='W/"1"', x="new", y="1")),
@@ -174,6 +177,22 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_revisits_of_hot_urls(spark, monkeypatch, most):
+    """A URL with most records, many of one time: each revisit's latest earlier response, by brute force."""
+    monkeypatch.setattr(revisits, "MOST_TIMES", most)
+    rng = random.Random(15)
+    data = [(i, rng.choice(["a.org", "a.org", "a.org", "b.org", None]), rng.choice([None, 7, *range(40)]), rng.choice(["response", "revisit"]), []) for i in range(400)]
+    df = spark.createDataFrame(data, "record_id long, url string, ts long, kind string, headers array<struct<name:string,value:string>>")
+    got = {r.record_id: r.refers_to for r in revisits.resolve_revisits(df).collect()}
+    want = {}
+    for i, url, ts, kind, _ in data:
+        if kind == "revisit":
+            before = [(t, k) for k, u, t, what, _ in data if what == "response" and u == url and None not in (u, t, ts) and t < ts]
+            want[i] = max(before)[1] if before else None
+    assert got == want
+
+
 class PlainModel:
     """Interpolated modified Kneser-Ney, straight from its definition, over tuples of classes."""
 

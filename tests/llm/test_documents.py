@@ -53,6 +53,47 @@ def test_personal_data_contexts_find_what_patterns_do_not(make):
     assert got[20] == [("id", "agent-0047-x")] and got[21] == [] and all(got[i][0][0] == "email" and len(got[i]) == 1 for i in range(20))
 
 
+def bootstrap_by_brute_force(rows):
+    """Pattern and instance scores from their definition, over plain dictionaries."""
+    pd = personal_data
+    edges, seeds = collections.Counter(), set()
+    for r in rows:
+        for sign, side in (("< ", r.left), ("> ", r.right)):
+            if side:
+                edges[sign + side, r.found.lower()] += 1
+                if r.base:
+                    seeds.add(r.found.lower())
+    scores = dict.fromkeys(seeds, 1.0)
+    for _ in range(pd.ROUNDS):
+        taken = {}
+        for pattern in {p for p, _ in edges}:
+            own = {i: n for (p, i), n in edges.items() if p == pattern}
+            share = sum(n * scores.get(i, 0.0) for i, n in own.items()) / (sum(own.values()) + 1)
+            if share >= pd.LEAST_SHARE and sum(scores.get(i, 0.0) >= pd.LEAST_SCORE for i in own) >= pd.LEAST_KNOWN:
+                taken[pattern] = share
+        scores = dict.fromkeys(seeds, 1.0)
+        for i in {i for _, i in edges} - seeds:
+            miss = 1.0
+            for (p, x) in edges:
+                if x == i and p in taken:
+                    miss *= 1 - taken[p]
+            if miss < 1:
+                scores[i] = 1 - miss
+    return {i: s for i, s in scores.items() if s >= pd.LEAST_SCORE and i not in seeds}
+
+
+def test_discovery_by_brute_force(make, spark):
+    """Which unseen identifiers the contexts lead to, with their scores."""
+    rng = random.Random(16)
+    before, after = ["write to", "call", "ref", "card no", "from host"], ["today", "now", "please", ""]
+    value = [lambda: f"u{rng.randrange(40)}@mail.example.com", lambda: f"10.0.0.{rng.randrange(30)}", lambda: f"agent-{rng.randrange(50):04d}-x", lambda: f"v{rng.randrange(20)}0240101beta", lambda: "plain"]
+    texts = [" ".join(f"{rng.choice(before)} {rng.choice(value[: 2 if rng.random() < 0.7 else 5])()} {rng.choice(after)}" for _ in range(rng.randrange(1, 8))) for _ in range(250)]
+    rows = personal_data.occurrences(make(texts))
+    want = bootstrap_by_brute_force([r for r in rows.collect() if r.kind is not None])
+    got = {r.instance: r.score for r in personal_data.bootstrap(rows).collect()}
+    assert got == pytest.approx(want) and got
+
+
 def test_personal_data_odd(odd, empty):
     got = personal_data.find_personal_data(odd).collect()
     assert len(got) == odd.count() and all(r.spans == [] for r in got)
