@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,43 +13,51 @@ from pyspark.sql import functions as F
 TERMS, EPS, ZERO = 10_000, 1e-15, 2.22e-16
 
 
-def incomplete_beta(x: float, a: float, b: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction in Lentz's form."""
+def _lgamma(x):
+    return np.array([math.lgamma(v) for v in x])
+
+
+def incomplete_beta(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of each pair of ``a`` and ``b``, by its continued fraction in Lentz's form."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
+    shape, a, b = a.shape, a.ravel(), b.ravel()
     if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        return np.full(shape, float(x >= 1))
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
     floor = 1e-300
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or floor)
-    value = d
+    away = lambda v: np.where(v == 0, floor, v)
+    c, d = np.ones(len(a)), 1 / away(1 - (a + b) * x / (a + 1))
+    value, left = d.copy(), np.arange(len(a))
     for m in range(1, TERMS):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + top * d or floor)
-            c = 1 + top / c or floor
-            value *= c * d
-        if abs(c * d - 1) < EPS:
-            return front * value
+        p, q, y = a[left], b[left], x[left]
+        for top in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[left] = 1 / away(1 + top * d[left])
+            c[left] = away(1 + top / c[left])
+            value[left] *= c[left] * d[left]
+        left = left[np.abs(c[left] * d[left] - 1) >= EPS]
+        if not len(left):
+            found = front * value
+            return np.where(swap, 1 - found, found).reshape(shape)
     raise ArithmeticError("the continued fraction does not converge")
 
 
-def posterior_of(f1: float, f2: float, f3: float, n: float, lam: float) -> float:
+def posterior_of(f1, f2, f3, n, lam: float) -> np.ndarray:
     """The main topology's share of the three topologies' marginal likelihoods; 0 if its own is 0."""
-    def log_g(x: float) -> float:
-        g = incomplete_beta(2 / 3, n - x + 2 * lam, x + 1)  # one minus that of 1/3, without cancellation
-        return math.log(g) if g > ZERO else -math.inf
+    f1, f2, f3, n = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, float)) for v in (f1, f2, f3, n)))
 
-    def log_r(m: float) -> float:
-        return math.log(2) * (m - f1) + math.lgamma(m + 1) + math.lgamma(n - m + 2 * lam) - math.lgamma(f1 + 1) - math.lgamma(n - f1 + 2 * lam)
+    def log_g(v):
+        g = incomplete_beta(2 / 3, n - v + 2 * lam, v + 1)  # one minus that of 1/3, without cancellation
+        return np.where(g > ZERO, np.log(np.maximum(g, ZERO)), -np.inf)
 
-    own = log_g(f1)
-    if own == -math.inf:
-        return 0.0
-    total = 1.0
+    base = _lgamma(f1 + 1) + _lgamma(n - f1 + 2 * lam)
+    own, total = log_g(f1), np.ones(len(f1))
+    known = np.isfinite(own)
     for m in (f2, f3):
-        log = log_g(m) + log_r(m) - own
-        total += math.exp(log) if log < 700 else math.inf
-    return 1 / total
+        log = log_g(m) + math.log(2) * (m - f1) + _lgamma(m + 1) + _lgamma(n - m + 2 * lam) - base - np.where(known, own, 0)
+        total += np.where(log < 700, np.exp(np.minimum(log, 700)), np.inf)
+    return np.where(known, 1 / total, 0.0)
 
 
 def posterior(f1: Column, f2: Column, f3: Column, n: Column, lam: float = 0.5) -> Column:
@@ -56,7 +65,10 @@ def posterior(f1: Column, f2: Column, f3: Column, n: Column, lam: float = 0.5) -
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([posterior_of(*x, lam) if x[3] == x[3] and x[3] >= 1 else None for x in zip(a, b, c, d, strict=True)], dtype="float64")
+        out, there = pd.Series(np.nan, index=a.index), d >= 1
+        if there.any():
+            out[there] = posterior_of(a[there], b[there], c[there], d[there], lam)
+        return out
 
     return run(f1.cast("double"), f2.cast("double"), f3.cast("double"), n.cast("double"))
 

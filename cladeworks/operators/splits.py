@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
+from cladeworks.session import settle
 
 #: Most taxa (a label and a number each) that are broadcast to every task; beyond, they are joined.
 MOST_TAXA = 1_000_000
 
 
 def dictionary(leaves: DataFrame) -> DataFrame:
-    """taxon, label: the distinct labels of accepted trees, numbered in their order."""
-    return leaves.select("label").distinct().select((F.row_number().over(Window.orderBy("label")) - 1).alias("taxon"), "label")
+    """taxon, label: the distinct labels of accepted trees, numbered in their order.
+
+    Labels are sorted in ranges; a label's number is its place in its range and the sizes of the ranges before.
+    """
+    ranged = leaves.select("label").distinct().repartitionByRange("label").sortWithinPartitions("label")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the low bits count the rows of a partition
+    ranged = settle(ranged.select("label", F.spark_partition_id().alias("part"), place.alias("i")), "labels")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each range
+    return ranged.join(F.broadcast(parts), "part").select((F.col("before") + F.col("i")).cast("int").alias("taxon"), "label")
 
 
 def _hint(taxa: DataFrame) -> DataFrame:
