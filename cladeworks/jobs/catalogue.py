@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cladeworks.functions import bits, support
 from cladeworks.jobs import reports
 from cladeworks.jobs.trees import Collection, Options, derived_trees, infer_species_tree
-from cladeworks.operators import compare, dp, quartets, splits, weights
+from cladeworks.operators import ancestry, compare, dp, quartets, splits, weights
 from cladeworks.sources import derived, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +476,31 @@ def tree_score(spark, sf_dir):
     return _first_tree(trees).select("a", "b").join(trees.weights, ["a", "b"]).agg(F.sum("weight").alias("score"))
 
 
+NODES = """,
+leaves AS (SELECT tree_id, count(*) AS k FROM gene_leaf GROUP BY 1),
+node AS (SELECT tree_id, CAST(blk << (lvl + 1) AS BIGINT) AS s, CAST(least((blk + 1) << (lvl + 1), k) AS BIGINT) AS e FROM split JOIN leaves USING (tree_id))"""
+
+
+@query(LEAVES + SPLITS + NODES + " SELECT n.tree_id, n.s AS start_leaf, n.e AS end_leaf, count(a.s) AS n_above FROM node n LEFT JOIN node a ON a.tree_id = n.tree_id AND a.s <= n.s AND a.e >= n.e AND (a.s <> n.s OR a.e <> n.e) GROUP BY 1, 2, 3")
+def node_ancestors(spark, sf_dir):
+    """How many nodes are above each one: its depth."""
+    nodes = derived_trees(spark, sf_dir).nodes
+    counts = ancestry.ancestors(nodes).groupBy("tree_id", "start", "end").agg(F.count("*").alias("n"))
+    found = nodes.select("tree_id", "start", "end").join(counts, ["tree_id", "start", "end"], "left")
+    return found.select("tree_id", F.col("start").cast("long").alias("start_leaf"), F.col("end").cast("long").alias("end_leaf"), F.coalesce("n", F.lit(0)).alias("n_above"))
+
+
+@query(LEAVES + SPLITS + NODES + """, pair AS (SELECT x.tree_id, x.pos AS p, y.pos AS q FROM gene_leaf x JOIN gene_leaf y ON x.tree_id = y.tree_id AND y.taxon = (x.taxon + 1) % 25)
+SELECT tree_id, p, q, min(e - s) AS size, arg_min(s, e - s) AS start_leaf FROM pair JOIN node USING (tree_id) WHERE s <= least(p, q) AND e > greatest(p, q) GROUP BY 1, 2, 3""")
+def lowest_common_nodes(spark, sf_dir):
+    """The lowest node above each two taxa with following numbers."""
+    trees = derived_trees(spark, sf_dir)
+    other = trees.order.select("tree_id", F.pmod(F.col("taxon") + 24, F.lit(25)).alias("taxon"), F.col("pos").alias("q"))
+    pairs = trees.order.join(other, ["tree_id", "taxon"]).select("tree_id", F.col("pos").alias("p"), "q")
+    found = ancestry.lowest_common(trees.nodes, pairs)
+    return found.select("tree_id", "p", "q", (F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start_leaf"))
+
+
 #: A tree for each part: its suppliers' nations by their largest price.
 PART_LEAVES = """
 cell AS (SELECT l_partkey AS tree_id, s_nationkey AS taxon, max(l_extendedprice) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
