@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeworks.llm.common import table
-from cladeworks.llm.conversations import WORD, digest, turns
+from cladeworks.llm.conversations import CRC_SQL, DIGEST_SQL, WORD, WORDS_SQL, digest, turns
 from cladeworks.session import settle
 
 #: A shard ends with the conversation that brings it to so many conversations or turns.
@@ -208,3 +208,22 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie of all rebuilt conversations; cases as in ``rebuilt`` and ``prefix_trie``."""
     return prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))).drop("key")
+
+
+OP11_SQL = f"""
+WITH plain AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {DIGEST_SQL}) AS place, {DIGEST_SQL} AS d, {WORDS_SQL.format('text')} AS words FROM plain),
+conv AS (SELECT conv_id, {CRC_SQL.format('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM plain)),
+path AS (SELECT c.conv_id, 0 AS part, place, d, words FROM conv c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, d, words FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND place > h),
+step AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(d, '') OVER w) AS key, words FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+occurrence AS (SELECT conv_id, 0 AS depth, '' AS key, CAST(NULL AS VARCHAR) AS parent, 0 AS words FROM conv
+  UNION ALL SELECT conv_id, depth, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), ''), words FROM step),
+node AS (SELECT key, min(conv_id) AS conv_id, max(depth) AS depth, max(parent) AS parent, max(words) AS words, count(*) AS n_convs FROM occurrence GROUP BY key),
+child AS (SELECT parent AS key, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY 1),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS hash FROM (SELECT conv_id, arg_max(key, depth) AS key FROM occurrence GROUP BY 1) GROUP BY 1),
+below AS (SELECT o.key, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+  FROM node v JOIN occurrence o ON o.conv_id = v.conv_id AND o.depth <= v.depth LEFT JOIN child c ON c.key = v.key GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM node v LEFT JOIN node p ON p.key = v.parent LEFT JOIN child c ON c.key = v.key JOIN below b ON b.key = v.key LEFT JOIN ends e ON e.key = v.key"""

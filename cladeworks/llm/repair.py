@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks.llm.common import small, table
-from cladeworks.llm.conversations import digest, turns
+from cladeworks.llm.conversations import CRC_SQL, DIGEST_SQL, digest, turns
 
 #: States: nothing yet, after system, after user, after assistant; what may follow each, and where a conversation may end.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -284,3 +284,35 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = [F.lit(0).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     none = damaged.groupBy("conv_id").agg(F.sum("times").alias("n")).where("n = 0").select("conv_id", *zero, F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256"))
     return found.unionByName(none)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE plain AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hits AS (SELECT *, {CRC_SQL.format('name')} % 20 AS hit FROM plain),
+damaged AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hits, (SELECT unnest([1, 2]) AS k) WHERE k <= CASE WHEN hit = 0 THEN 0 WHEN hit = 3 THEN 2 ELSE 1 END),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {DIGEST_SQL}) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS bare FROM damaged),
+kind AS (SELECT conv_id, turn, i, role, text, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM kind GROUP BY 1),
+follows AS (SELECT unnest([0, 0, 1, 2, 3]) AS q, unnest(['s', 'u', 'u', 'a', 'u']) AS r, unnest([1, 2, 2, 3, 2]) AS q2),
+named AS (SELECT q, q2, CASE r WHEN 'u' THEN 'user' ELSE 'assistant' END AS role FROM follows WHERE r <> 's'),
+put1 AS (SELECT q, q2, 'I' AS edits, chr(10) || role || ':' AS put FROM named),
+put2 AS (SELECT a.q, b.q2, 'II' AS edits, a.put || b.put AS put FROM put1 a JOIN put1 b ON b.q = a.q2),
+put3 AS (SELECT a.q, b.q2, 'III' AS edits, a.put || b.put AS put FROM put2 a JOIN put1 b ON b.q = a.q2),
+puts AS (SELECT unnest([0, 1, 2, 3]) AS q, unnest([0, 1, 2, 3]) AS q2, '' AS edits, '' AS put UNION ALL FROM put1 UNION ALL FROM put2 UNION ALL FROM put3),
+search AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'put': ''}} AS best FROM counts
+  UNION ALL SELECT * FROM (SELECT conv_id, i, q, min(way) AS best FROM (
+    SELECT s.conv_id, k.i, p.q2 AS q, {{'cost': s.best.cost + 5 * length(p.edits) + 2, 'audit': s.best.audit || p.edits || 'D', 'put': s.best.put || p.put}} AS way
+      FROM search s JOIN kind k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.i = s.i + 1 JOIN puts p ON p.q = s.q
+    UNION ALL SELECT s.conv_id, k.i, f.q2, {{'cost': s.best.cost + 5 * length(p.edits) + 5 * (k.fault = 'truncated')::BIGINT, 'audit': s.best.audit || p.edits || 'K', 'put': s.best.put || p.put || chr(10) || k.role || ':' || k.text}}
+      FROM search s JOIN kind k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.i = s.i + 1 JOIN puts p ON p.q = s.q JOIN follows f ON f.q = p.q2 AND f.r = left(k.role, 1) WHERE k.fault IN ('', 'truncated')
+    UNION ALL SELECT s.conv_id, k.i, f.q2, {{'cost': s.best.cost + 5 * length(p.edits) + 5 * (k.fault = 'truncated')::BIGINT + 1, 'audit': s.best.audit || p.edits || 'R', 'put': s.best.put || p.put || chr(10) || f.role || ':' || k.text}}
+      FROM search s JOIN kind k ON k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.i = s.i + 1 JOIN puts p ON p.q = s.q JOIN named f ON f.q = p.q2 WHERE k.fault IN ('', 'truncated')) GROUP BY 1, 2, 3)),
+final AS (SELECT c.conv_id, min({{'cost': s.best.cost + 5 * length(p.edits), 'audit': s.best.audit || p.edits, 'put': s.best.put || p.put}}) AS best
+  FROM counts c JOIN search s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n JOIN puts p ON p.q = s.q AND p.q2 IN (0, 3) GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(f.best.cost, 0) AS cost, coalesce(f.best.audit, '') AS audit, sha256(coalesce(substr(f.best.put, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM plain) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM o.conv_id"""
