@@ -301,7 +301,7 @@ def _wanted(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: some links, found among sets that share one of their least hashes, each compared with two others there at most.
+    """u, v: some links, found among sets that share two of their least hashes, each compared with few others.
 
     They make one component of nearly all copies that are edited little, however many these are.
     """
@@ -312,19 +312,34 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = keyed.join(F.broadcast(hot.select("key", "parts")), "key", "left").select("key", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "n", "sid")
     anchors = hot.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "anchor.n", "anchor.sid")
     dealt = dealt.unionByName(anchors).repartition("key", "part").sortWithinPartitions("key", "part", "n", "sid")
-    pairs = settle(dealt.select("key", "part", "n", "sid").mapInArrow(_neighbours, "u long, v long").distinct(), "first-pairs")
+    pairs = settle(dealt.select("key", "part", "n", "sid").mapInArrow(_neighbours, "u long, v long").groupBy("u", "v").count().where("count > 1").drop("count"), "first-pairs")
     tokens = _wanted(docs, pairs.select(F.col("u").alias("sid")).union(pairs.select("v")), "compared")
     partners = pairs.join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
     own = tokens.join(pairs.select(F.col("u").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
     return settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
 
 
+def _may_link() -> Column:
+    """Whether a set of n tokens that shares so many first tokens with a group, of sets of ``least`` to ``most`` tokens, may link to one.
+
+    Of two sets, that whose first tokens end sooner in the common order has no more tokens in common with the other than
+    the shared first ones and its own later ones, of which there are one fewer than ``least_own``. Over the sizes that a
+    partner may have this is least strict at the smallest, or, of those not below n, at the largest.
+    """
+    n, own = F.col("n"), lambda x: F.ceil(x * LEAST / 100)
+    common = lambda x: F.ceil((F.col("n") + x) * LEAST / (100 + LEAST))
+    low, high = F.greatest("least", own(n)), F.least("most", F.floor(n * 100 / LEAST))
+    below = (low <= n) & (F.col("shared") > common(low) - own(n))
+    above = (high >= n) & (F.col("shared") >= common(high) - own(high))  # one less, as rounding may favour the size before
+    return below | above
+
+
 def _rest(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """u, v: at least one link of each two components of ``links`` between which there is one.
 
     Sets of a component are cut into groups of at most about GROUP. The matrix says which groups hold which of the tokens
     that come first in their sets. A set is a query to the groups of other components of larger size (or of equal size and
-    greater number) that share such a token, at places from which enough tokens may follow.
+    greater number) that share enough of these with it.
     """
     roots = settle(components(links), "roots")
     sizes = settle(roots.groupBy("root").agg(F.count("*").alias("of")), "sizes")
@@ -333,17 +348,16 @@ def _rest(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LEAST)))
     cut = F.xxhash64("root", band, F.pmod(F.xxhash64("sid"), F.ceil(F.col("of") / GROUP)))
     placed = settle(placed.select("sid", "n", "root", "of", F.when(F.col("of") == 1, F.col("sid")).otherwise(cut).alias("g"), "prefix"), "placed")
-    rows = placed.select("sid", "n", "root", "of", "g", F.posexplode("prefix").alias("i", "token"))
+    rows = placed.select("sid", "n", "root", "of", "g", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
     rows = settle(rows.join(small(shared, MOST, "shared-tokens"), "token", "left_semi"), "matrix")
-    matrix = rows.groupBy("token", "g", "root", "of").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("i").alias("first"))
-    need = F.greatest(F.ceil(F.col("n") * LEAST / 100), F.ceil((F.col("n") + F.col("least")) * LEAST / (100 + LEAST)))
-    fits = (F.col("most") * 100 >= F.col("n") * LEAST) & (F.col("n") * 100 >= F.col("least") * LEAST) & (F.col("i") <= F.col("n") - need)
-    fits = fits & (F.col("first") * (100 + LEAST) <= F.col("most") * 100 - F.col("n") * LEAST)
-    other = matrix.select("token", "g", F.col("root").alias("its_root"), F.col("of").alias("its_of"), "least", "most", "first")
+    matrix = rows.groupBy("token", "g", "root", "of").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = matrix.select("token", "g", F.col("root").alias("its_root"), F.col("of").alias("its_of"), "least", "most")
     larger = (F.col("its_of") > F.col("of")) | ((F.col("its_of") == F.col("of")) & (F.col("its_root") > F.col("root")))
-    asked = rows.select("token", "sid", "n", "root", "of", "i").distinct().join(other, "token").where((F.col("root") != F.col("its_root")) & larger & fits)
-    asked = settle(asked.select("g", "sid", "n").distinct(), "asked")
+    fits = (F.col("most") * 100 >= F.col("n") * LEAST) & (F.col("n") * 100 >= F.col("least") * LEAST)
+    asked = rows.select("token", "sid", "n", "root", "of").distinct().join(other, "token").where((F.col("root") != F.col("its_root")) & larger & fits)
+    asked = asked.groupBy("g", "sid").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = settle(asked.where(_may_link()).select("g", "sid", "n"), "asked")
     members = settle(rows.select("g", "sid").distinct().join(asked.select("g").distinct(), "g", "left_semi"), "group-members")
     tokens = _wanted(docs, asked.select("sid").union(members.select("sid")), "opened")
     hot = settle(_parts(asked, "g"), "hot-groups").select("g", "parts")
