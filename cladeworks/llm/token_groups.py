@@ -13,6 +13,8 @@ from cladeworks.session import settle
 WORDS, LEAST = 4, 85
 #: Tokens that at least one in SHARE documents have, and FLOOR of them, come last in all orders of tokens.
 SHARE, FLOOR = 1024, 64
+#: Bytes of the texts whose words are taken together.
+AT_ONCE = 1 << 20
 #: Tokens that a task gathers before it counts them, and whose counts it keeps; words whose hashes it keeps.
 GATHERED, KEPT, KNOWN = 1_000_000, 4_000_000, 300_000
 #: Smallest hashes of a set, each by a mixing of its own, by which similar sets are brought together at first.
@@ -54,21 +56,36 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def token_sets(batch: list[bytes], known: _Words) -> list:
+def token_sets(batch: list[bytes], known: _Words):
     """The distinct 64-bit hashes of each text's shingles, ascending: 4 words, A-Z as lower case; fewer words are one shingle; no word gives none."""
+    import itertools
+
     import numpy as np
 
-    words = [t.lower().split() for t in batch]
-    out = []
-    for w in words:
-        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        n = max(len(w) - WORDS + 1, min(len(w), 1))
-        width = min(len(w), WORDS)
-        x = np.full(n, width, np.uint64)
-        for k in range(width):
-            x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-        out.append(np.unique(x))
-    return out
+    size, first = 0, 0
+    for last, text in enumerate(batch):
+        size += len(text)
+        if size < AT_ONCE and last + 1 < len(batch):
+            continue
+        words = [t.lower().split() for t in batch[first : last + 1]]
+        size, first = 0, last + 1
+        lengths = [len(w) for w in words]
+        h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.uint64, sum(lengths))
+        del words
+        x = np.full(max(0, len(h) - WORDS + 1), WORDS, np.uint64)  # the shingle that begins at each word
+        for k in range(WORDS):
+            x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(x)])
+        at = 0
+        for n in lengths:
+            if n >= WORDS:
+                own = np.sort(x[at : at + n - WORDS + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            else:
+                one = np.full(min(n, 1), n, np.uint64)
+                for k in range(n):
+                    one = _mix(one * np.uint64(0x9E3779B97F4A7C15) + h[at + k : at + k + 1])
+                yield one
+            at += n
 
 
 def set_id(tokens) -> int:
@@ -133,7 +150,7 @@ def _marks(names: list[str]):
 
         known, frequent, kinds = _Words(), _Frequent(), None
         for b in few(batches):
-            sets = token_sets(raw(b.column("text")), known)
+            sets = list(token_sets(raw(b.column("text")), known))
             for s in sets:
                 frequent.add(s)
             kinds = {c: b.schema.field(c).type for c in names}
@@ -294,13 +311,17 @@ def _parts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct("n", "sid")).alias("anchor")).where(F.col("rows") > most).select(key, F.ceil(F.col("rows") / most).cast("int").alias("parts"), "anchor")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """sid, tokens of the sets whose ids (sid) are given."""
+def _wanted(docs: DataFrame, rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """sid, tokens of the sets whose ids (sid) are given. Of the texts only one row for each is worked on, unless these are more than MOST."""
+    ids = small(ids.distinct(), MOST, name)
+    holders = settle(rows.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("holder")).select("holder").distinct(), "holders")
+    if holders.limit(MOST + 1).count() <= MOST:
+        docs = docs.join(F.broadcast(holders), docs["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
     made = docs.select("text").mapInArrow(_sets, "sid long, tokens binary")
-    return settle(made.join(small(ids.distinct(), MOST, name), "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
+    return settle(made.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
 
 
-def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v: some links, found among sets that share two of their least hashes, each compared with few others.
 
     They make one component of nearly all copies that are edited little, however many these are.
@@ -313,7 +334,7 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     anchors = hot.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "anchor.n", "anchor.sid")
     dealt = dealt.unionByName(anchors).repartition("key", "part").sortWithinPartitions("key", "part", "n", "sid")
     pairs = settle(dealt.select("key", "part", "n", "sid").mapInArrow(_neighbours, "u long, v long").groupBy("u", "v").count().where("count > 1").drop("count"), "first-pairs")
-    tokens = _wanted(docs, pairs.select(F.col("u").alias("sid")).union(pairs.select("v")), "compared")
+    tokens = _wanted(docs, rows, pairs.select(F.col("u").alias("sid")).union(pairs.select("v")), "compared")
     partners = pairs.join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
     own = tokens.join(pairs.select(F.col("u").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
     return settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
@@ -334,7 +355,7 @@ def _may_link() -> Column:
     return below | above
 
 
-def _rest(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """u, v: at least one link of each two components of ``links`` between which there is one.
 
     Sets of a component are cut into groups of at most about GROUP. The matrix says which groups hold which of the tokens
@@ -359,7 +380,7 @@ def _rest(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     asked = asked.groupBy("g", "sid").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     asked = settle(asked.where(_may_link()).select("g", "sid", "n"), "asked")
     members = settle(rows.select("g", "sid").distinct().join(asked.select("g").distinct(), "g", "left_semi"), "group-members")
-    tokens = _wanted(docs, asked.select("sid").union(members.select("sid")), "opened")
+    tokens = _wanted(docs, marks, asked.select("sid").union(members.select("sid")), "opened")
     hot = settle(_parts(asked, "g"), "hot-groups").select("g", "parts")
     queries = asked.join(F.broadcast(hot), "g", "left").select("g", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("sid").alias("query"), "sid")
     copies = members.join(F.broadcast(hot), "g", "left").select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("query"), "sid")
@@ -374,7 +395,7 @@ def similar(docs: DataFrame, *more: str | Column) -> DataFrame:
     start, so nothing grows with the number of copies; a set without tokens (text null, empty, blank) links with nothing.
     Sets are of 64-bit hashes and are known by 64 bits. Null doc_ids get the component of their set (null if no row of
     it has an id); repeated rows get a result each; an empty table gives none; other columns are left behind. Texts are
-    read four times; whole sets are sent only to be compared, and tasks hold those of one group.
+    read four times, twice for those alone that are compared; tasks hold the sets of one group.
     """
     plain = texts(docs, *more)
     names = [c for c in plain.columns if c != "text"]
@@ -384,7 +405,7 @@ def similar(docs: DataFrame, *more: str | Column) -> DataFrame:
     often = marks.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     least = max(FLOOR, rows.count() // (2 * SHARE))
     heavy = often.where(F.col("seen") >= least)
-    return _named(rows, _links(plain, _broadcast(heavy)), names)
+    return _named(rows, _links(plain, rows, _broadcast(heavy)), names)
 
 
 def _broadcast(heavy: DataFrame):
@@ -398,11 +419,11 @@ def _broadcast(heavy: DataFrame):
     return heavy.sparkSession.sparkContext.broadcast(np.sort(table.column(0).to_numpy().view(np.uint64)) if table.num_rows else np.zeros(0, np.uint64))
 
 
-def _links(plain: DataFrame, heavy) -> DataFrame:
+def _links(plain: DataFrame, rows: DataFrame, heavy) -> DataFrame:
     sets = settle(plain.select("text").mapInArrow(_prefixes(heavy), "sid long, n long, minima array<long>, prefix array<long>"), "prefixes")
     heavy.unpersist()
-    first = _first_links(plain, sets)
-    return settle(first.unionByName(_rest(plain, sets, first)), "all-links")
+    first = _first_links(plain, rows, sets)
+    return settle(first.unionByName(_rest(plain, rows, sets, first)), "all-links")
 
 
 def _named(rows: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
