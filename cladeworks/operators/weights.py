@@ -9,8 +9,10 @@ from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
 from cladeworks.session import settle
 
-#: Rows of candidates and of splits that meet in one task; trees of a block for trees with many taxa.
+#: Rows of candidates and of splits that meet in one task; trees of a block whose candidates bring their members.
 BLOCK, TREES = 4096, 64
+#: Bytes of the leaf orders of a block, least number of blocks if trees are as many, and the rows that a tree's splits are dealt to.
+BLOCK_BYTES, LEAST_BLOCKS, DEALS = 1 << 27, 8, 4
 
 
 def pair_score(p: Column, q: Column) -> Column:
@@ -102,50 +104,50 @@ def tree_arrays(order: DataFrame, nodes: DataFrame) -> DataFrame:
     return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans, "tree_id").select("tree_id", "order", *map(field, ("start", "mid", "end")))
 
 
-#: Candidates whose running counts are made at a time.
-AT_ONCE = 32
-
-
 def _ranges(one, trees):
     import numpy as np
     import pyarrow as pa
 
-    orders = [(np.array(o, np.int64), *(np.array(x, np.int64) for x in (s, m, e))) for o, s, m, e in zip(*(trees[c].to_pylist() for c in ("order", "start", "mid", "end")), strict=True)]
-    n = 1 + max((int(o.max()) for o, *_ in orders if len(o)), default=0)
-    ids, totals = [], []
-    for number, order, start, mid, end in zip(*(one[c].to_pylist() for c in ("ids", "own", "start", "mid", "end")), strict=True):
-        order, n_all = np.array(order, np.int64), n
-        n_all = max(n, 1 + int(order.max()))
-        for i in range(0, len(number), AT_ONCE):
-            cut = list(zip(start[i : i + AT_ONCE], mid[i : i + AT_ONCE], end[i : i + AT_ONCE], strict=True))
-            sides = np.zeros((2, len(cut), n_all), np.int32)
-            for k, (s, m, e) in enumerate(cut):
-                sides[0, k, order[s:m]] = 1
-                sides[1, k, order[m:e]] = 1
-            total = np.zeros(len(cut), np.int64)
-            for o, s, m, e in orders:
-                runs = np.zeros((2, len(cut), len(o) + 1), np.int32)
-                np.cumsum(sides[:, :, o], axis=2, out=runs[:, :, 1:])
-                at_mid = runs[:, :, m]
-                first, last = at_mid - runs[:, :, s], runs[:, :, e] - at_mid
-                for p, q in ((first[0], last[1]), (last[0], first[1])):
-                    p, q = p.astype(np.int64), q.astype(np.int64)
-                    total += (p * q * (p + q - 2) // 2).sum(1)
-            ids += number[i : i + AT_ONCE]
-            totals.append(total)
-    return pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array(np.concatenate(totals) if totals else np.zeros(0, np.int64))})
+    from cladeworks.operators import orders
+
+    met = [orders.Order(*arrays) for arrays in zip(*(orders.lists(trees[c]) for c in ("order", "start", "mid", "end")), strict=True)]
+    ids, found = [], []
+    for number, order, *cuts in zip(*(orders.lists(one[c]) for c in ("ids", "own", "start", "mid", "end")), strict=True):
+        bounds = np.stack(cuts, 1).astype(np.int64)
+        colours = np.broadcast_to(np.array([0, 1]), (len(bounds), 2))
+        for part, sets in orders.intervals(order, bounds, colours):
+            total = np.zeros(part.stop - part.start, np.int64)
+            for tree in met:
+                b, *_ = orders.branches(tree, sets, 2)
+                score = sum(p * q * (p + q - 2) // 2 for p, q in ((b.first[0], b.second[1]), (b.second[0], b.first[1])))
+                total += orders.totals(b.number, score, len(total))
+            ids.append(number[part])
+            found.append(total)
+    none = np.zeros(0, np.int64)
+    return pa.table({"id": pa.array(np.concatenate([none, *ids])), "part": pa.array(np.concatenate([none, *found]))})
 
 
 def weights_by_ranges(splits: DataFrame, trees: DataFrame) -> DataFrame:
     """a, b, weight of each distinct split (a, b, first) over trees (tree_id, order, start, mid, end arrays), as ``weights`` gives them.
 
     The way for many taxa: memory is that of the trees' leaf orders. A split is an interval of the order of the first
-    tree that has it; splits of one tree travel together with its order, and meet the trees in blocks. Running counts
-    of a split's sides along a tree's order give its overlaps with all of the tree's splits at once.
+    tree that has it; splits of one tree travel together with its order, and meet the trees in blocks of bounded bytes.
+    A split agrees with a tree only at nodes that have leaves of it in both of their parts. These are one fewer than its
+    leaves, so it costs its own size for each tree, and a tree's splits together their sizes, not taxa times splits.
     """
     numbered = settle(splits.select("a", "b", "first", F.monotonically_increasing_id().alias("id")), "numbered-splits")
-    own = numbered.groupBy(F.col("first.tree_id").alias("tree_id"), F.pmod("id", F.lit(8)).alias("deal")).agg(F.array_sort(F.collect_list(F.struct("id", "first.start", "first.mid", "first.end"))).alias("s"))
+    deals = F.pmod(F.xxhash64("id"), F.lit(DEALS))
+    own = numbered.groupBy(F.col("first.tree_id").alias("tree_id"), deals.alias("deal")).agg(F.array_sort(F.collect_list(F.struct("id", "first.start", "first.mid", "first.end"))).alias("s"))
     field = lambda c: F.transform("s", lambda x: x[c])
     one = own.join(trees.select("tree_id", F.col("order").alias("own")), "tree_id").select(field("id").alias("ids"), "own", *(field(c).alias(c) for c in ("start", "mid", "end")))
-    parts = against(settle(one, "candidates"), trees.select("order", "start", "mid", "end"), _ranges, "id long, part long", (TREES, TREES))
+    size = trees_of_a_block(trees)
+    parts = against(settle(one, "candidates"), trees.select("order", "start", "mid", "end"), _ranges, "id long, part long", (size, size))
     return numbered.join(parts.groupBy("id").agg(F.sum("part").alias("weight")), "id").select("a", "b", "weight")
+
+
+def trees_of_a_block(trees: DataFrame) -> int:
+    """How many leaf orders, with the tables that tasks make of them, come to about BLOCK_BYTES; fewer if there would be few blocks."""
+    n, leaves = trees.agg(F.count("*"), F.max(F.size("order"))).first()
+    leaves = max(2, leaves or 0)
+    by_bytes = BLOCK_BYTES // (leaves * 8 * (8 + leaves.bit_length()))
+    return max(1, min(by_bytes, -(-n // LEAST_BLOCKS)))
