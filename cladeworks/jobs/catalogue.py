@@ -549,3 +549,29 @@ def supplier_split_weights(spark, sf_dir):
     trees = derived_trees(spark, sf_dir, "supplier")
     at = lambda c, name: F.col(f"first.{c}").cast("long").alias(name)
     return trees.splits.join(trees.weights, ["a", "b"]).select(F.col("first.tree_id").alias("tree_id"), at("start", "first_leaf"), at("mid", "middle"), at("end", "end_leaf"), "freq", "weight")
+
+
+#: Sets around the inner branches of the first tree, by its leaf order, and quartets in all trees, for up to 126 suppliers.
+SUPPLIER_QUADS = SUPPLIERS + """,
+node AS (SELECT tree_id, l, r, blk << (lvl + 1) AS s, (blk << (lvl + 1)) + (1 << lvl) AS mid, least((blk + 1) << (lvl + 1), k) AS e FROM split JOIN sizes USING (tree_id)),
+sp AS (SELECT * FROM node WHERE tree_id = (SELECT min(tree_id) FROM node)),
+every AS (SELECT bit_or(CAST(1 AS HUGEINT) << CAST(taxon AS HUGEINT)) AS w FROM gene_leaf),
+up AS (SELECT s, mid AS e, mid AS s2, e AS e2, r AS other, l | r AS both FROM sp UNION ALL SELECT mid, e, s, mid, l, l | r FROM sp),
+quad AS (SELECT c.s, c.e, c.l AS q1, c.r AS q2, coalesce(b.l, up.other) AS q3, coalesce(b.r, w & ~up.both) AS q4
+  FROM sp c JOIN up ON up.s = c.s AND up.e = c.e LEFT JOIN sp b ON b.s = up.s2 AND b.e = up.e2 CROSS JOIN every WHERE coalesce(b.r, w & ~up.both) <> 0),
+whole AS (SELECT tree_id, bit_or(CAST(1 AS HUGEINT) << CAST(taxon AS HUGEINT)) AS w FROM gene_leaf GROUP BY 1),
+part AS (SELECT q.s, q.e, freq, CAST(bit_count(q1 & a) AS BIGINT) AS al, CAST(bit_count(q1 & b) AS BIGINT) AS ar, CAST(bit_count(q2 & a) AS BIGINT) AS bl, CAST(bit_count(q2 & b) AS BIGINT) AS br,
+  CAST(bit_count(q3 & a) AS BIGINT) AS cl, CAST(bit_count(q3 & b) AS BIGINT) AS cr, CAST(bit_count(q4 & a) AS BIGINT) AS dl, CAST(bit_count(q4 & b) AS BIGINT) AS dr FROM quad q, dsplit),
+tops AS (SELECT s, e, CAST(sum(freq * (al * bl * cr * dr + ar * br * cl * dl)) AS BIGINT) AS f1, CAST(sum(freq * (al * cl * br * dr + ar * cr * bl * dl)) AS BIGINT) AS f2,
+  CAST(sum(freq * (al * dl * br * cr + ar * dr * bl * cl)) AS BIGINT) AS f3 FROM part GROUP BY 1, 2),
+ns AS (SELECT s, e, CAST(sum(CAST(bit_count(q1 & w) AS BIGINT) * bit_count(q2 & w) * bit_count(q3 & w) * bit_count(q4 & w)) AS BIGINT) AS n,
+  CAST(max(CAST(bit_count(q1) AS BIGINT) * bit_count(q2) * bit_count(q3) * bit_count(q4)) AS BIGINT) AS possible FROM quad, whole GROUP BY 1, 2)"""
+
+
+@query(SUPPLIER_QUADS + " SELECT CAST(s AS BIGINT) AS first_leaf, CAST(e AS BIGINT) AS end_leaf, f1, f2, f3, n, possible FROM tops JOIN ns USING (s, e)")
+def supplier_quartets(spark, sf_dir):
+    """Quartets around the branches of the first tree where taxa are many, along the trees' leaf orders."""
+    trees = derived_trees(spark, sf_dir, "supplier")
+    first = F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id")))
+    found = quartets.frequencies_along(trees.nodes.join(first, "tree_id"), trees.order.join(first, "tree_id"), trees.taxa, trees.arrays, trees.order)
+    return found.select(F.col("start").alias("first_leaf"), F.col("end").alias("end_leaf"), *(F.col(c).cast("long").alias(c) for c in ("f1", "f2", "f3", "n", "possible")))

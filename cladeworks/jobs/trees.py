@@ -96,7 +96,7 @@ class Collection:
     @cached_property
     def weights(self) -> DataFrame:
         if self.by_order:
-            return settle(weights.weights_by_ranges(self.splits, settle(weights.tree_arrays(self.order, self.nodes), "orders")), "weights")
+            return settle(weights.weights_by_ranges(self.splits, self.arrays), "weights")
         return settle(weights.weights(self.splits, self.splits, self.words), "weights")
 
     @cached_property
@@ -113,17 +113,35 @@ class Collection:
         whole = self.nodes.where("start = 0").groupBy("tree_id").agg(F.max_by(bits.union("left", "right", self.words), "end").alias("mask"))
         return whole.groupBy("mask").agg(F.count("*").alias("freq"))
 
+    @cached_property
+    def arrays(self) -> DataFrame:
+        """tree_id, order, start, mid, end as arrays, a row for each tree that has a node."""
+        return settle(weights.tree_arrays(self.order, self.nodes), "arrays")
+
     def branches(self, tree: DataFrame) -> DataFrame:
-        """branch, f1, f2, f3, n, possible and the support of each inner branch of a tree (u, a, b)."""
+        """branch, f1, f2, f3, n, possible and the support of each inner branch of one tree (u, a, b).
+
+        With sets of members these meet the splits; with hashed sets the tree is laid out by its leaves, and the gene trees
+        are gone through along theirs.
+        """
         if self.words == bits.HASHED:
-            raise ValueError(f"branch support needs sets of members, which there are for up to {MASKED} taxa")
-        every = self.taxa.agg(*(F.bit_or(w).alias(f"w{i}") for i, w in enumerate(bits.singleton(F.col("taxon"), self.words))))
-        every = every.select(bits.key([F.col(f"w{i}") for i in range(self.words)]).alias("mask"))
-        quads = quartets.quadripartitions(tree, every, self.words)
-        counts = quartets.frequencies(quads, self.splits, self.leaf_sets, self.words)
+            counts = self._branches_along(tree)
+        else:
+            every = self.taxa.agg(*(F.bit_or(w).alias(f"w{i}") for i, w in enumerate(bits.singleton(F.col("taxon"), self.words))))
+            every = every.select(bits.key([F.col(f"w{i}") for i in range(self.words)]).alias("mask"))
+            quads = quartets.quadripartitions(tree, every, self.words)
+            counts = quartets.frequencies(quads, self.splits, self.leaf_sets, self.words)
         f, n, lam = [F.col(c) for c in ("f1", "f2", "f3")], F.col("n"), self.options.lam
         return counts.select("*", support.posterior(*f, n, lam).alias("posterior"), support.branch_length(f[0], n, lam).alias("length"), support.p_value(*f, n).alias("p_value"))
 
+    def _branches_along(self, tree: DataFrame) -> DataFrame:
+        rows = tree.select(F.lit(0).cast("long").alias("tree_id"), "u", "a", "b", F.lit(None).cast("string").alias("note"))
+        own = Collection(dp.newick(rows, self.taxa, self.words), taxa=self.taxa)
+        own.words = self.words
+        counts = quartets.frequencies_along(own.nodes, own.order, self.taxa, self.arrays, self.order)
+        branch = own.nodes.select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), bits.union("left", "right", self.words).alias("branch"))
+        return branch.join(counts, ["start", "end"]).drop("start", "end")
+
 
 def infer_species_tree(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """newick, score, n_trees, is_complete: the tree whose splits agree most with the triplets of (tree_id, newick) lines.

@@ -162,8 +162,29 @@ def test_hashed_sets(spark, monkeypatch):
     whole = {i for i, t in enumerate(trees) if len(leaves(t)) == 40}  # which side is the smaller one depends on the form of sets
     pairs = lambda c: {(r.tree_1, r.tree_2): r.distance for r in compare.all_pairs(compare.unrooted(c.nodes, c.words), c.nodes).collect() if {r.tree_1, r.tree_2} <= whole}
     assert pairs(one) == pairs(two)
-    with pytest.raises(ValueError):
-        two.branches(two.solved)
+
+
+def test_support_along_orders(spark, monkeypatch):
+    """Quartets along leaf orders are those from sets: trees that lack taxa, a species tree that does, leaves as siblings."""
+    rng = random.Random(22)
+    caterpillar = LABELS[0]
+    for x in LABELS[1:17]:
+        caterpillar = (caterpillar, x)
+    trees = [random_tree(rng, LABELS[:16]), caterpillar, *(random_tree(rng, rng.sample(LABELS[:18], rng.randint(6, 18))) for _ in range(12))]
+    one = Collection(lines(spark, trees))
+    assert one.words == 1
+    monkeypatch.setattr(jobs, "MASKED", 10)
+    two = Collection(one.lines, taxa=one.taxa)
+    assert two.words == bits.HASHED
+    for k in (0, 1):
+        tree = lambda c: c.nodes.where(F.col("tree_id") == k).select(bits.union("left", "right", c.words).alias("u"), F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"))  # noqa: B023, E731
+        rows = lambda c: c.branches(tree(c)).collect()  # noqa: B023, E731
+        plain = lambda found, size: sorted((size(r.branch), int(r.f1), *sorted((int(r.f2), int(r.f3))), int(r.n), int(r.possible), round(r.posterior or 0, 9), round(r.p_value or -1, 9)) for r in found)
+        want, got = rows(one), rows(two)
+        assert plain(want, lambda u: u.w0.bit_count()) == plain(got, lambda u: u.w2) and len(want) > 8
+    for kind in ("all", "both"):
+        found = infer_species_tree(one.lines, Options(support=kind)).first()
+        assert found.newick.count(",") >= 16 and "pp=" in found.newick or kind == "both"
 
 
 def test_weights_along_orders_when_splits_differ(spark):
