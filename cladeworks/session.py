@@ -45,19 +45,16 @@ _made: list[list[str]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new name in the shared folder."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new name in the shared folder. Inside of a ``temporary`` block the folder is removed at the block's end."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Inside of a ``temporary`` block the folder is removed at the block's end, unless the caller names the ``path``.
-    """
-    if path is None:
-        path = folder(df.sparkSession, name)
-        if _made:
-            _made[-1].append(path)
+    """Write ``df`` as Parquet in the shared folder, or at ``path``, and read it back: cuts lineage, survives lost executors."""
+    path = path or folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

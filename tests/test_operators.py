@@ -93,7 +93,7 @@ def brute_best(options):
     return {u: best(u) for u in options}
 
 
-@pytest.mark.parametrize("one_task", [0, 20, 10**6])
+@pytest.mark.parametrize("one_task", [0, 20, 45, 60, 10**6])
 def test_species_tree(collection, one_task):
     trees, c = collection
     options = {}
