@@ -484,10 +484,15 @@ node AS (SELECT tree_id, CAST(blk << (lvl + 1) AS BIGINT) AS s, CAST(least((blk
 @query(LEAVES + SPLITS + NODES + " SELECT n.tree_id, n.s AS start_leaf, n.e AS end_leaf, count(a.s) AS n_above FROM node n LEFT JOIN node a ON a.tree_id = n.tree_id AND a.s <= n.s AND a.e >= n.e AND (a.s <> n.s OR a.e <> n.e) GROUP BY 1, 2, 3")
 def node_ancestors(spark, sf_dir):
     """How many nodes are above each one: its depth."""
-    nodes = derived_trees(spark, sf_dir).nodes
-    counts = ancestry.ancestors(nodes).groupBy("tree_id", "start", "end").agg(F.count("*").alias("n"))
-    found = nodes.select("tree_id", "start", "end").join(counts, ["tree_id", "start", "end"], "left")
-    return found.select("tree_id", F.col("start").cast("long").alias("start_leaf"), F.col("end").cast("long").alias("end_leaf"), F.coalesce("n", F.lit(0)).alias("n_above"))
+    found = ancestry.depths(derived_trees(spark, sf_dir).nodes)
+    return found.select("tree_id", F.col("start").cast("long").alias("start_leaf"), F.col("end").cast("long").alias("end_leaf"), "n_above")
+
+
+@query(LEAVES + SPLITS + NODES + " SELECT n.tree_id, n.s AS start_leaf, n.e AS end_leaf, a.s AS above_start, a.e AS above_end FROM node n JOIN node a ON a.tree_id = n.tree_id AND a.s <= n.s AND a.e >= n.e AND (a.s <> n.s OR a.e <> n.e)")
+def ancestor_pairs(spark, sf_dir):
+    """Each node with each node above it."""
+    found = ancestry.ancestors(derived_trees(spark, sf_dir).nodes)
+    return found.select("tree_id", *(F.col(c).cast("long").alias(k) for c, k in (("start", "start_leaf"), ("end", "end_leaf"), ("above_start", "above_start"), ("above_end", "above_end"))))
 
 
 @query(LEAVES + SPLITS + NODES + """, pair AS (SELECT x.tree_id, x.pos AS p, y.pos AS q FROM gene_leaf x JOIN gene_leaf y ON x.tree_id = y.tree_id AND y.taxon = (x.taxon + 1) % 25)

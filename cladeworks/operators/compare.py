@@ -9,8 +9,8 @@ from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
 from cladeworks.session import settle
 
-#: Trees of either side that meet in one task.
-TREES = 256
+#: Trees of either side that meet in one task, and bytes of their splits, at most; splits that are marked at a time.
+TREES, BLOCK_BYTES, AT_ONCE = 256, 1 << 25, 8192
 
 
 def unrooted(nodes: DataFrame, n: int) -> DataFrame:
@@ -33,23 +33,36 @@ def _pairs(x, y):
     import numpy as np
     import pyarrow as pa
 
-    number: dict[int, int] = {}
-    sets = [[[number.setdefault(k, len(number)) for k in keys] for keys in t["keys"].to_pylist()] for t in (x, y)]
-    marks = [np.zeros((len(s), len(number)), np.float32) for s in sets]
-    for m, s in zip(marks, sets, strict=True):
-        for i, k in enumerate(s):
-            m[i, k] = 1
-    common = (marks[0] @ marks[1].T).astype(np.int64)
-    far = marks[0].sum(1).astype(np.int64)[:, None] + marks[1].sum(1).astype(np.int64)[None, :] - 2 * common
-    one, two = (np.array(t["tree_id"].to_pylist(), np.int64) for t in (x, y))
-    i, j = np.nonzero(one[:, None] < two[None, :])
-    return pa.table({"tree_1": pa.array(one[i]), "tree_2": pa.array(two[j]), "distance": pa.array(far[i, j])})
+    from cladeworks.operators.orders import lists
+
+    ids, rows, keys = [], [], []
+    for t in (x, y):
+        sets = lists(t["keys"])
+        ids.append(t["tree_id"].to_numpy())
+        rows.append(np.repeat(np.arange(len(sets)), [len(k) for k in sets]))
+        keys.append(np.concatenate([np.zeros(0, np.int64), *sets]))
+    far = np.bincount(rows[0], minlength=len(ids[0]))[:, None] + np.bincount(rows[1], minlength=len(ids[1]))[None, :]
+    shared = np.intersect1d(*keys)
+    marks = [np.zeros((len(i), min(AT_ONCE, len(shared))), np.float32) for i in ids]
+    at = [np.searchsorted(shared, k) for k in keys]
+    there = [np.flatnonzero(shared[np.minimum(p, len(shared) - 1)] == k) if len(shared) else np.zeros(0, np.int64) for p, k in zip(at, keys, strict=True)]
+    there = [i[np.argsort(p[i], kind="stable")] for i, p in zip(there, at, strict=True)]
+    for low in range(0, len(shared), AT_ONCE):  # the splits that both blocks have, some at a time
+        for m, r, p, i in zip(marks, rows, at, there, strict=True):
+            own = i[slice(*np.searchsorted(p[i], (low, low + AT_ONCE)))]
+            m[:] = 0
+            m[r[own], p[own] - low] = 1
+        far = far - 2 * (marks[0] @ marks[1].T).astype(np.int64)
+    i, j = np.nonzero(ids[0][:, None] < ids[1][None, :])
+    return pa.table({"tree_1": pa.array(ids[0][i]), "tree_2": pa.array(ids[1][j]), "distance": pa.array(far[i, j])})
 
 
 def all_pairs(splits: DataFrame, trees: DataFrame) -> DataFrame:
     """tree_1, tree_2, distance of each two of ``trees`` (tree_id): splits (tree_id, s) that only one of them has.
 
-    Trees meet in blocks. Splits of one word are compared as they are, longer ones by the number of the distinct split.
+    Trees meet in blocks of up to TREES, fewer if their splits would exceed BLOCK_BYTES; of these a task marks AT_ONCE at
+    a time that both blocks have, so memory does not grow with the splits there are. Splits of one word are compared as
+    they are, longer ones by the number of the distinct split.
     """
     words = splits.schema["s"].dataType.fieldNames()
     key = F.col(f"s.{words[0]}")
@@ -57,8 +70,10 @@ def all_pairs(splits: DataFrame, trees: DataFrame) -> DataFrame:
         numbers = settle(splits.select("s").distinct().select("s", F.monotonically_increasing_id().alias("key")), "split-numbers")
         splits, key = splits.join(numbers, "s"), F.col("key")
     sets = trees.select("tree_id").distinct().join(splits.groupBy("tree_id").agg(F.collect_list(key).alias("keys")), "tree_id", "left")
-    sets = sets.select(F.col("tree_id").cast("long").alias("tree_id"), F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
-    return against(sets, sets, _pairs, "tree_1 long, tree_2 long, distance long", (TREES, TREES))
+    sets = settle(sets.select(F.col("tree_id").cast("long").alias("tree_id"), F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys")), "split-sets")
+    largest = sets.agg(F.max(F.size("keys"))).first()[0] or 1
+    block = max(1, min(TREES, BLOCK_BYTES // (8 * max(1, largest))))
+    return against(sets, sets, _pairs, "tree_1 long, tree_2 long, distance long", (block, block))
 
 
 def to_one(splits: DataFrame, trees: DataFrame, species: DataFrame) -> DataFrame:

@@ -57,6 +57,13 @@ def node_splits(tokens: DataFrame, taxa: DataFrame, n: int) -> DataFrame:
     return nodes.select("tree_id", F.col("s").alias("start"), F.col("m").alias("mid"), F.col("e").alias("end"), side("s", "m").alias("left"), side("m", "e").alias("right"))
 
 
+def spans(nodes: DataFrame) -> DataFrame:
+    """tree_id, start, mid, end: the nodes of a tree as arrays, by their first leaf."""
+    rows = nodes.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("start", "mid", "end"))).alias("s"))
+    field = lambda c: F.transform("s", lambda x: x[c]).alias(c)
+    return rows.select("tree_id", *map(field, ("start", "mid", "end")))
+
+
 def frequencies(nodes: DataFrame) -> DataFrame:
     """a, b, freq: distinct splits, the smaller set first, and how often each occurs; first: tree_id, start, mid, end of its first occurrence."""
     first = F.min(F.struct("tree_id", "start", "mid", "end")).alias("first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
+from cladeworks.operators.splits import spans
 from cladeworks.session import settle
 
 #: Rows of candidates and of splits that meet in one task; trees of a block whose candidates bring their members.
@@ -99,9 +100,7 @@ def weights_by_order(candidates: DataFrame, trees: DataFrame) -> DataFrame:
 def tree_arrays(order: DataFrame, nodes: DataFrame) -> DataFrame:
     """tree_id, order, start, mid, end: a row for each tree, for ``weights_by_order``."""
     by_pos = F.transform(F.array_sort(F.collect_list(F.struct("pos", "taxon"))), lambda x: x["taxon"])
-    spans = nodes.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("start", "mid", "end"))).alias("s"))
-    field = lambda c: F.transform("s", lambda x: x[c]).alias(c)
-    return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans, "tree_id").select("tree_id", "order", *map(field, ("start", "mid", "end")))
+    return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans(nodes), "tree_id").select("tree_id", "order", "start", "mid", "end")
 
 
 def _ranges(one, trees):

@@ -13,7 +13,9 @@ from cladeworks.functions import bits, support
 from cladeworks.jobs import reports
 from cladeworks.jobs import trees as jobs
 from cladeworks.jobs.trees import Collection, Options, infer_species_tree
-from cladeworks.operators import compare, dp, quartets, weights
+from cladeworks.operators import ancestry, compare, dp, quartets, weights
+from cladeworks.operators.components import components
+from cladeworks.session import temporary
 from cladeworks.sources import stats
 
 
@@ -333,3 +335,80 @@ def test_distances(spark, collection):
     assert same == {0, 1, 2, 3}
     n = spark.range(1).select(*(compare.normed(F.lit(d), k) for d, k in ((4, 3), (2, 5), (99, 5)))).first()
     assert tuple(n) == (0, 0.5, 1)
+
+
+def test_ancestry(spark, monkeypatch, collection):
+    """Depths, ancestors and lowest common nodes against intervals compared one by one, with questions dealt to several tasks."""
+    _, c = collection
+    monkeypatch.setattr(ancestry, "QUESTIONS", 20)
+    spans = {}
+    for r in c.nodes.collect():
+        spans.setdefault(r.tree_id, []).append((r.start, r.end))
+    holds = lambda a, b: a[0] <= b[0] and a[1] >= b[1] and a != b
+    pairs = sorted((t, *v, *a) for t, all_spans in spans.items() for v in all_spans for a in all_spans if holds(a, v))
+    assert sorted(map(tuple, ancestry.ancestors(c.nodes).collect())) == pairs
+    assert sorted(map(tuple, ancestry.depths(c.nodes).collect())) == sorted((t, *v, sum(holds(a, v) for a in all_spans)) for t, all_spans in spans.items() for v in all_spans)
+    asked = [(t, p, q) for t, all_spans in spans.items() for p in range(max(e for _, e in all_spans)) for q in range(max(e for _, e in all_spans))]
+    want = {(t, p, q): min(((e - s, s, e) for s, e in spans[t] if s <= min(p, q) and e > max(p, q)))[1:] for t, p, q in asked}
+    got = ancestry.lowest_common(c.nodes, spark.createDataFrame([*asked, *asked[:5]], "tree_id long, p int, q int")).collect()
+    assert len(got) == len(asked) and {(r.tree_id, r.p, r.q): (r.start, r.end) for r in got} == want
+
+
+def test_distances_of_many_taxa():
+    """Blocks of trees with 5,000 taxa: the distances of sets, in memory that is not that of all splits for all trees."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, own = np.random.default_rng(3), [set() for _ in range(12)]
+    for s in own:
+        s |= set(rng.integers(0, 20_000, 3000).tolist()) | set(rng.integers(2**40, 2**60, 2000).tolist())
+    block = lambda ids: pa.table({"tree_id": pa.array(ids, pa.int64()), "keys": pa.array([sorted(own[i]) for i in ids], pa.list_(pa.int64()))})
+    one, two = block(range(0, 12, 2)), block(range(1, 12, 2))
+    tracemalloc.start()
+    got = compare._pairs(one, two).to_pylist() + compare._pairs(two, one).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r["tree_1"], r["tree_2"]): r["distance"] for r in got} == {(i, j): len(own[i] ^ own[j]) for i in range(12) for j in range(i + 1, 12) if (i + j) % 2}
+    assert peak < 8e6
+    none = pa.table({"tree_id": pa.array([50], pa.int64()), "keys": pa.array([[]], pa.list_(pa.int64()))})
+    assert [r["distance"] for r in compare._pairs(one, none).to_pylist()] == [len(own[i]) for i in range(0, 12, 2)]
+
+
+def test_bands(spark, collection, monkeypatch):
+    """Clusters that do not nest are solved apart: bands of doubling sizes, several groups in each."""
+    _, c = collection
+    other = random_tree(random.Random(9), LABELS[20:28])
+    two = Collection(lines(spark, [*(random_tree(random.Random(k), LABELS[:8]) for k in range(4)), *[other] * 3]))
+    options = dp.candidates(two.weights, two.words).withColumn("su", bits.size("u", two.words))
+    sizes = [tuple(r) for r in options.groupBy("su").count().orderBy("su").collect()]
+    placed, bands = dp._plan(options, sizes, two.words, sum(k for _, k in sizes) - 1)
+    assert len(bands) < len(sizes) and placed.where("su = 2").select("comp").distinct().count() > 1
+    want = {r.u.w0: r.score for r in dp.solve(two.weights, two.root, two.words).collect()}
+    assert {r.u.w0: r.score for r in dp.solve(two.weights, two.root, two.words, sum(k for _, k in sizes) - 1).collect()} == want
+
+
+def test_temporary_removes_all(spark, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/work")
+    try:
+        with temporary(spark):
+            found = infer_species_tree(lines(spark, [random_tree(random.Random(4), LABELS[:7]) for _ in range(3)]), Options(support="both")).first()
+            assert os.listdir(f"{tmp_path}/work")
+        assert found.newick and not os.listdir(f"{tmp_path}/work")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 140)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    root = {x: x for e in links for x in e}
+    for _ in range(200):
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    assert got == {x: root[x] for x in got} and set(got) >= {x for u, v in links if u != v for x in (u, v)}
