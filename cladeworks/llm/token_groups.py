@@ -19,8 +19,10 @@ AT_ONCE = 1 << 20
 GATHERED, KEPT, KNOWN = 1_000_000, 4_000_000, 300_000
 #: Smallest hashes of a set, each by a mixing of its own, by which similar sets are brought together at first.
 MINIMA = 4
-#: Most sets of a group; rows of one key, or queries of one group, that go to one task.
-GROUP, KEY_ROWS = 32, 4096
+#: About the most sets of a group; rows of one key, or queries of one group, that go to one task.
+GROUP, KEY_ROWS = 128, 4096
+#: Bits of a piece of a bitmap, and of a bitmap at most (64 MB).
+PIECE, MOST_BITS = 1 << 19, 1 << 29
 #: Most rows of tokens, sets or documents (8 to 24 bytes each) that are broadcast; most tokens that come last.
 MOST, MOST_FREQUENT = 1_000_000, 4_000_000
 
@@ -300,8 +302,9 @@ def _opened(batches):
                     group.add(sid, tokens)
             elif group.ids:
                 for v in group.linked(tokens):
-                    us.append(query)
-                    vs.append(v)
+                    if v != query:
+                        us.append(query)
+                        vs.append(v)
         yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
@@ -321,8 +324,8 @@ def _wanted(docs: DataFrame, rows: DataFrame, ids: DataFrame, name: str) -> Data
     return settle(made.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
 
 
-def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: some links, found among sets that share two of their least hashes, each compared with few others.
+def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, v: some links; and sid, key: of each set that shares a least hash with another one the least of these. Links are found among sets that share two of their least hashes, each compared with few others.
 
     They make one component of nearly all copies that are edited little, however many these are.
     """
@@ -337,7 +340,8 @@ def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame
     tokens = _wanted(docs, rows, pairs.select(F.col("u").alias("sid")).union(pairs.select("v")), "compared")
     partners = pairs.join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
     own = tokens.join(pairs.select(F.col("u").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
-    return settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
+    links = settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
+    return links, settle(keyed.groupBy("sid").agg(F.min("key").alias("key")), "near")
 
 
 def _may_link() -> Column:
@@ -355,29 +359,83 @@ def _may_link() -> Column:
     return below | above
 
 
-def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """u, v: at least one link of each two components of ``links`` between which there is one.
+def _bits(bucket):
+    import numpy as np
+    import pyarrow as pa
+
+    marks = np.zeros(PIECE, bool)
+    marks[bucket["bit"].to_numpy()] = True
+    return pa.table({"piece": bucket["piece"][:1], "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+
+def _marked(tokens: DataFrame):
+    """The broadcast of a bitmap of ``tokens``: 2**k bits, some 16 for each of them, but at most MOST_BITS, in pieces made by tasks."""
+    pieces = 1 << max(0, (min(MOST_BITS, 16 * max(1, tokens.count())) - 1).bit_length() - (PIECE.bit_length() - 1))
+    at = tokens.select(F.pmod("token", F.lit(pieces * PIECE)).alias("at"))
+    made = at.select(F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.pmod("at", F.lit(PIECE)).alias("bit")).groupBy("piece").applyInArrow(_bits, "piece int, bits binary")
+    found = {r.piece: bytes(r.bits) for r in made.collect()}  # of a bounded size
+    empty = bytes(PIECE // 8)
+    return tokens.sparkSession.sparkContext.broadcast(b"".join(found.get(i, empty) for i in range(pieces)))
+
+
+def _some(bitmap):
+    """Rows (token and the other columns) of the tokens of each set that the bitmap has."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            column = b.column("prefix")
+            tokens = column.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
+            at = tokens & (8 * len(bits) - 1)
+            there = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            others = b.select([c for c in b.schema.names if c != "prefix"]).take(pa.array(row[there]))
+            yield pa.record_batch([*others.columns, pa.array(tokens[there])], names=[*others.schema.names, "token"])
+
+    return run
+
 
-    Sets of a component are cut into groups of at most about GROUP. The matrix says which groups hold which of the tokens
-    that come first in their sets. A set is a query to the groups of other components of larger size (or of equal size and
-    greater number) that share enough of these with it.
+def _placed(sets: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+    """sid, n, root, of, g, prefix: the sets with their components so far, and their groups.
+
+    A component is cut into groups of sets of about a size. Sets that are in none go together if they share a least hash
+    (``near``: sid, key); a set without any is a group of its own. ``of`` is 1 for sets in no component, 2 for those in
+    small ones, else the component's size.
     """
     roots = settle(components(links), "roots")
-    sizes = settle(roots.groupBy("root").agg(F.count("*").alias("of")), "sizes")
-    roots = small(roots.join(sizes, "root").select(F.col("node").alias("sid"), "root", "of"), MOST, "members")
-    placed = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("of", F.coalesce("of", F.lit(1).cast("long")))
+    large = small(roots.groupBy("root").agg(F.count("*").alias("of")).where(F.col("of") > GROUP), MOST, "large")
+    roots = small(roots.join(large, "root", "left").select(F.col("node").alias("sid"), "root", F.coalesce("of", F.lit(2).cast("long")).alias("of")), MOST, "members")
+    crowded = small(near.groupBy("key").agg(F.count("*").alias("crowd")).where(F.col("crowd") > GROUP), MOST, "crowded")
+    near = small(near.join(crowded, "key", "left").select("sid", "key", "crowd"), MOST, "near")
+    rows = sets.join(roots, "sid", "left").join(near, "sid", "left")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LEAST)))
-    cut = F.xxhash64("root", band, F.pmod(F.xxhash64("sid"), F.ceil(F.col("of") / GROUP)))
-    placed = settle(placed.select("sid", "n", "root", "of", F.when(F.col("of") == 1, F.col("sid")).otherwise(cut).alias("g"), "prefix"), "placed")
-    rows = placed.select("sid", "n", "root", "of", "g", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
-    rows = settle(rows.join(small(shared, MOST, "shared-tokens"), "token", "left_semi"), "matrix")
-    matrix = rows.groupBy("token", "g", "root", "of").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = matrix.select("token", "g", F.col("root").alias("its_root"), F.col("of").alias("its_of"), "least", "most")
-    larger = (F.col("its_of") > F.col("of")) | ((F.col("its_of") == F.col("of")) & (F.col("its_root") > F.col("root")))
+    deal = lambda size: F.pmod(F.xxhash64("sid"), F.ceil(F.coalesce(size, F.lit(1).cast("long")) / GROUP))
+    g = F.when(F.col("root").isNotNull(), F.xxhash64(F.lit(1), "root", band, deal(F.col("of")))).when(F.col("key").isNotNull(), F.xxhash64(F.lit(2), "key", band, deal(F.col("crowd"))))
+    return settle(rows.select("sid", "n", F.coalesce("root", "sid").alias("root"), F.coalesce("of", F.lit(1).cast("long")).alias("of"), F.coalesce(g, "sid").alias("g"), "prefix"), "placed")
+
+
+def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+    """u, v: the links between components of ``links``; of those inside of groups and between two groups of components some may be repeated.
+
+    The matrix says which groups of similar sets hold which of the tokens that come first in their sets. A set is a query
+    to its own group, and to those of larger components (or of a greater number), that share enough of these with it.
+    Only tokens of several components matter; a bitmap keeps most others out.
+    """
+    placed = _placed(sets, near, links)
+    shared = placed.select("root", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
+    bitmap = _marked(settle(shared, "shared-tokens"))
+    rows = settle(placed.mapInArrow(_some(bitmap), "sid long, n long, root long, of long, g long, token long"), "matrix")
+    bitmap.unpersist()
+    matrix = rows.groupBy("token", "g", "of").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("one_root"), F.max("root").alias("last_root"))
+    other = matrix.select("token", F.col("g").alias("its_g"), F.col("of").alias("its_of"), "least", "most", "one_root", "last_root")
+    ahead = (F.col("its_of") > F.col("of")) | ((F.col("its_of") == F.col("of")) & (F.col("its_g") >= F.col("g")))
     fits = (F.col("most") * 100 >= F.col("n") * LEAST) & (F.col("n") * 100 >= F.col("least") * LEAST)
-    asked = rows.select("token", "sid", "n", "root", "of").distinct().join(other, "token").where((F.col("root") != F.col("its_root")) & larger & fits)
-    asked = asked.groupBy("g", "sid").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    new = (F.col("one_root") != F.col("root")) | (F.col("last_root") != F.col("root"))
+    asked = rows.distinct().join(other, "token").where(new & ahead & fits)
+    asked = asked.groupBy(F.col("its_g").alias("g"), "sid").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     asked = settle(asked.where(_may_link()).select("g", "sid", "n"), "asked")
     members = settle(rows.select("g", "sid").distinct().join(asked.select("g").distinct(), "g", "left_semi"), "group-members")
     tokens = _wanted(docs, marks, asked.select("sid").union(members.select("sid")), "opened")
@@ -422,8 +480,8 @@ def _broadcast(heavy: DataFrame):
 def _links(plain: DataFrame, rows: DataFrame, heavy) -> DataFrame:
     sets = settle(plain.select("text").mapInArrow(_prefixes(heavy), "sid long, n long, minima array<long>, prefix array<long>"), "prefixes")
     heavy.unpersist()
-    first = _first_links(plain, rows, sets)
-    return settle(first.unionByName(_rest(plain, rows, sets, first)), "all-links")
+    first, near = _first_links(plain, rows, sets)
+    return settle(first.unionByName(_rest(plain, rows, sets, near, first)), "all-links")
 
 
 def _named(rows: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:

@@ -261,14 +261,14 @@ def family(rng, vocabulary, size, copies, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("group, rows", [(32, 4096), (3, 5)])
+@pytest.mark.parametrize("group, rows", [(128, 4096), (3, 5)])
 def test_groups(spark, monkeypatch, group, rows):
     """Families of near copies at, above and below the limit, with small and with usual groups, against all pairs."""
     monkeypatch.setattr(token_groups, "GROUP", group)
     monkeypatch.setattr(token_groups, "KEY_ROWS", rows)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]
-    texts = [t for size, copies, edits in ((200, 60, 3), (120, 30, 4), (60, 30, 2), (300, 20, 9), (12, 10, 1), (5, 6, 1), (4, 4, 1)) for t in family(rng, vocabulary, size, copies, edits)]
+    texts = [t for size, copies, edits in ((200, 60, 3), (120, 30, 4), (60, 30, 2), (300, 20, 9), (100, 60, 4), (12, 10, 1), (5, 6, 1), (4, 4, 1)) for t in family(rng, vocabulary, size, copies, edits)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(60))
     texts += [f"{passage} {' '.join(rng.choice(vocabulary) for _ in range(rng.randint(2, 60)))}" for _ in range(60)]
     data = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3]), (900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, texts[10].upper())]
