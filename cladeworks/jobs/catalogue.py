@@ -15,6 +15,7 @@ from cladeworks.functions import bits, support
 from cladeworks.jobs import reports
 from cladeworks.jobs.trees import Collection, Options, derived_trees, infer_species_tree
 from cladeworks.operators import ancestry, compare, dp, quartets, splits, weights
+from cladeworks.session import settle
 from cladeworks.sources import derived, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,16 +194,31 @@ def cluster_universe(spark, sf_dir):
 o AS (SELECT f.a AS ca, f.b AS cb, s.a AS sa, s.b AS sb, CAST(bit_count(f.a & s.a) AS BIGINT) AS aa, CAST(bit_count(f.b & s.b) AS BIGINT) AS bb, CAST(bit_count(f.a & s.b) AS BIGINT) AS ab, CAST(bit_count(f.b & s.a) AS BIGINT) AS ba FROM f, dsplit s)
 SELECT * FROM o WHERE aa + bb + ab + ba > 0""")
 def range_intersections(spark, sf_dir):
-    """Overlaps of the first tree's splits with all distinct ones, by joins of taxa with leaf intervals."""
+    """Overlaps of the first tree's splits with all distinct ones: common leaves of ranges, by an index of each two trees."""
     trees = derived_trees(spark, sf_dir)
-    first = _first_tree(trees).select(_word("a"), _word("b"))
-
-    def members(df):
-        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(61)), lambda i: F.struct(i.alias("taxon"), F.call_function("bit_get", "a", i).alias("in_a"), F.call_function("bit_get", "b", i).alias("in_b"))))
-        return df.select(F.struct("a", "b").alias("id"), each.alias("x")).where("x.in_a + x.in_b > 0").select("id", F.when(F.col("x.in_a") == 1, 0).otherwise(1).alias("side"), "x.taxon")
-
-    found = weights.overlaps(members(first), members(trees.splits.select(_word("a"), _word("b"))))
-    return found.select(F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), F.col("s.a").alias("sa"), F.col("s.b").alias("sb"), "aa", "bb", "ab", "ba")
+    first = trees.nodes.join(F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id"))), "tree_id")
+    sides = lambda s, m, e, left, right: F.when(left < right, F.array(F.struct(s, m), F.struct(m, e))).otherwise(F.array(F.struct(m, e), F.struct(s, m)))
+    c = [F.col(x).cast("long") for x in ("start", "mid", "end")]
+    one = first.select(F.least("left.w0", "right.w0").alias("ca"), F.greatest("left.w0", "right.w0").alias("cb"), F.col("tree_id").alias("tree_1"), sides(*c, F.col("left.w0"), F.col("right.w0")).alias("x"))
+    f = trees.splits.join(trees.nodes.select("tree_id", "start", "mid", "end", "left", "right"), (F.col("first.tree_id") == F.col("tree_id")) & (F.col("first.mid") == F.col("mid")))
+    two = f.select(F.col("a.w0").alias("sa"), F.col("b.w0").alias("sb"), F.col("tree_id").alias("tree_2"), sides(*c, F.col("left.w0"), F.col("right.w0")).alias("y"))
+    pairs = settle(two.crossJoin(F.broadcast(one)), "pairs")  # the splits of one tree with all
+    kinds = {"aa": (0, 0), "bb": (1, 1), "ab": (0, 1), "ba": (1, 0)}
+    asked = pairs.select("ca", "cb", "sa", "sb", "tree_1", "tree_2", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col("x")[i].alias("p"), F.col("y")[j].alias("q")) for k, (i, j) in kinds.items()))).alias("z"))
+    asked = settle(asked.withColumn("id", F.monotonically_increasing_id()), "questions")
+    ends = [F.col(f"z.{k}.col{i}").alias(f"{name}_{n}") for n, k in ((1, "p"), (2, "q")) for i, name in ((1, "start"), (2, "end"))]
+    found = weights.range_overlaps(asked.select("id", "tree_1", "tree_2", *ends), trees.arrays)
+    total = [F.sum(F.when(F.col("z.kind") == k, F.col("common"))).alias(k) for k in kinds]
+    return asked.join(found, "id").groupBy("ca", "cb", "sa", "sb").agg(*total).where("aa + bb + ab + ba > 0")
+
+
+@query(LEAVES + SPLITS + " SELECT count(*) AS n_occurrences, (SELECT count(*) FROM dsplit) AS n_distinct, CAST(0 AS BIGINT) AS n_collisions FROM occurrence")
+def hash_collisions(spark, sf_dir):
+    """Occurrences of splits whose hashes are equal though their leaves are not: each is compared with the first one of its hash."""
+    trees = derived_trees(spark, sf_dir)
+    rows = trees.nodes.select("tree_id", "start", "mid", "end", F.xxhash64(F.least("left", "right"), F.greatest("left", "right")).alias("key"))
+    found = splits.check_groups(rows, trees.arrays, halves=True)
+    return found.agg(F.count("*").alias("n_occurrences"), F.count_distinct("key", "part").alias("n_distinct"), F.count_if(F.col("part") > 0).alias("n_collisions"))
 
 
 @query(LEAVES + SPLITS + OVERLAPS + " SELECT a, b, weight FROM weight")

@@ -118,6 +118,15 @@ class Collection:
         """tree_id, order, start, mid, end as arrays, a row for each tree that has a node."""
         return settle(weights.tree_arrays(self.order, self.nodes), "arrays")
 
+    @cached_property
+    def collisions(self) -> DataFrame:
+        """tree_id, start, mid, end of the nodes whose split is hashed like another one, though its leaves differ; none with sets of members."""
+        if self.words != bits.HASHED:
+            return self.nodes.select("tree_id", "start", "mid", "end").limit(0)
+        key = F.struct(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"))
+        found = splits.check_groups(self.nodes.select("tree_id", "start", "mid", "end", key.alias("key")), self.arrays, halves=True)
+        return found.where("part > 0").select("tree_id", "start", "mid", "end")
+
     def branches(self, tree: DataFrame) -> DataFrame:
         """branch, f1, f2, f3, n, possible and the support of each inner branch of one tree (u, a, b).
 
@@ -149,12 +158,16 @@ def infer_species_tree(lines: DataFrame, options: Options = Options()) -> DataFr
     Taxa are the labels of accepted trees. Unless the first largest tree has all of them (is_complete), the result
     lacks those that it lacks. With ``support``, inner branches are annotated from quartet frequencies, and have lengths.
     """
-    trees = Collection(lines, options)
+    return species_tree(Collection(lines, options))
+
+
+def species_tree(trees: Collection) -> DataFrame:
+    """As ``infer_species_tree``, of a collection, whose other stages can be looked at afterwards."""
     tree = trees.solved.where("in_tree").select(F.lit(0).alias("tree_id"), "u", "a", "b", "score")
     rows = tree.withColumn("note", F.lit(None).cast("string"))
-    if options.support:
+    if kind := trees.options.support:
         found = trees.branches(tree.select("u", "a", "b")).where("n >= 1")
-        note = support.annotation(options.support, F.col("posterior"), F.col("length"), F.col("p_value"), [F.col(c) for c in ("f1", "f2", "f3")], F.col("n"))
+        note = support.annotation(kind, F.col("posterior"), F.col("length"), F.col("p_value"), [F.col(c) for c in ("f1", "f2", "f3")], F.col("n"))
         rows = tree.join(found.select(F.col("branch").alias("u"), note.alias("note"), "length"), "u", "left")
     text = dp.newick(rows, trees.taxa, trees.words)
     top = tree.agg(F.max("score").alias("score")).crossJoin(trees.status.agg(F.count_if(F.col("status") == "ok").alias("n_trees"))).crossJoin(trees.root.select("is_complete"))

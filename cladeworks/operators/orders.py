@@ -123,3 +123,39 @@ def totals(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         out[number[at]] = np.add.reduceat(values, at)
     return out
+
+
+class RangeIndex:
+    """How many leaves any range of one order has in common with any range of another, in log n steps each, for many questions at once.
+
+    The places in the second order, in the order of the first, are sorted bit by bit from the highest; of each step it is
+    kept how many zeros there are up to each place.
+    """
+
+    def __init__(self, one, two):
+        most = 1 + max((int(np.max(x)) for x in (one, two) if len(x)), default=0)
+        place = np.full(most, -1, np.int64)
+        place[two] = np.arange(len(two))
+        values = place[one]
+        self.upto = np.concatenate([[0], np.cumsum(values >= 0)])  # leaves that both have
+        values = values[values >= 0]
+        self.n, self.levels = len(two), []
+        for bit in range(max(1, len(two).bit_length()) - 1, -1, -1):
+            ones = values >> bit & 1 == 1
+            self.levels.append((bit, np.concatenate([[0], np.cumsum(~ones)]), int((~ones).sum())))
+            values = np.concatenate([values[~ones], values[ones]])
+
+    def _below(self, low, high, value):
+        """Leaves at kept places from low to high whose place in the second order is below value."""
+        out, low, high = np.zeros(len(value), np.int64), low.copy(), high.copy()
+        for bit, zeros, n_zeros in self.levels:
+            one = value >> bit & 1 == 1
+            z_low, z_high = zeros[low], zeros[high]
+            out += np.where(one, z_high - z_low, 0)
+            low = np.where(one, n_zeros + low - z_low, z_low)
+            high = np.where(one, n_zeros + high - z_high, z_high)
+        return out
+
+    def common(self, start_1, end_1, start_2, end_2) -> np.ndarray:
+        low, high = self.upto[start_1], self.upto[end_1]
+        return self._below(low, high, np.asarray(end_2)) - self._below(low, high, np.asarray(start_2))

@@ -92,3 +92,46 @@ def coverage(order: DataFrame) -> DataFrame:
     row = sizes.agg(F.count("*").alias("n_trees"), F.sum("n").alias("n_leaves"), F.min("n").alias("smallest"), F.max("n").alias("largest")).crossJoin(n)
     cells = F.col("n_trees") * F.col("n_taxa")
     return row.select("n_trees", "n_taxa", "n_leaves", "smallest", "largest", (cells - F.col("n_leaves")).alias("n_missing"), (F.col("n_leaves") * 100.0 / cells).alias("coverage_pct"))
+
+
+def _agree(first, rows):
+    """key, tree_id, start, mid, end, same: whether the leaves of each interval are those of the first one of its key."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cladeworks.operators import orders
+
+    kept = ("key", "tree_id", "start", "mid", "end")
+    if not first.num_rows or not rows.num_rows:
+        return pa.table({c: rows[c] for c in kept} | {"same": pa.nulls(rows.num_rows, pa.bool_())}).slice(0, 0)
+    index = orders.RangeIndex(orders.lists(first["one"])[0], orders.lists(first["two"])[0])
+    s, m, e, x, y, z = (rows[c].to_numpy().astype(np.int64) for c in ("start", "mid", "end", "f_start", "f_mid", "f_end"))
+    inside = lambda a, b, c, d: (b - a == d - c) & (index.common(a, b, c, d) == b - a)
+    same = (inside(s, m, x, y) & inside(m, e, y, z)) | (inside(s, m, y, z) & inside(m, e, x, y)) if first["halves"][0].as_py() else inside(s, e, x, z)
+    return pa.table({c: rows[c] for c in kept} | {"same": pa.array(same)})
+
+
+def check_groups(occurrences: DataFrame, arrays: DataFrame, halves: bool = False) -> DataFrame:
+    """key, tree_id, start, mid, end, part: occurrences (tree_id, start, mid, end, key) of sets that hashes say are equal, told apart by their leaves.
+
+    The leaves from start to end of the first occurrence of a key and of each other one are counted, by an index of the
+    two trees' orders (arrays: tree_id, order): they are equal if all are common. (``halves``: both sides of a split are, in
+    either order.) Those that are not get part 1 and are compared among themselves, and so on: part 0 alone means that
+    no hash stands for two sets.
+    """
+    place = F.struct("tree_id", "start", "mid", "end")
+    left, out, number = settle(occurrences.select("key", "tree_id", "start", "mid", "end"), "occurrences"), None, 0
+    while True:
+        first = left.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("n"))
+        rows = left.join(first, "key").select("key", "tree_id", "start", "mid", "end", F.col("f.tree_id").alias("f_tree"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("start", "mid", "end")))
+        pairs = rows.select(F.col("f_tree").alias("tree_a"), F.col("tree_id").alias("tree_b")).distinct()
+        orders_of = lambda c, k: arrays.select(F.col("tree_id").alias(c), F.col("order").alias(k))
+        indexed = pairs.join(orders_of("tree_b", "one"), "tree_b").join(orders_of("tree_a", "two"), "tree_a").withColumn("halves", F.lit(halves))
+        kinds = dict(left.dtypes)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("key", "tree_id", "start", "mid", "end")) + ", same boolean"
+        found = settle(indexed.groupBy("tree_a", "tree_b").cogroup(rows.groupBy("f_tree", "tree_id")).applyInArrow(_agree, schema), "agreement")
+        own = found.where("same").drop("same").withColumn("part", F.lit(number))
+        out = own if out is None else out.unionByName(own)
+        left, number = found.where("not same").drop("same"), number + 1
+        if left.isEmpty():
+            return out

@@ -14,6 +14,8 @@ from cladeworks.session import settle
 BLOCK, TREES = 4096, 64
 #: Bytes of the leaf orders of a block, least number of blocks if trees are as many, and the rows that a tree's splits are dealt to.
 BLOCK_BYTES, LEAST_BLOCKS, DEALS = 1 << 27, 8, 4
+#: Questions about two trees that a task answers at a time at most.
+QUESTIONS = 500_000
 
 
 def pair_score(p: Column, q: Column) -> Column:
@@ -103,6 +105,35 @@ def tree_arrays(order: DataFrame, nodes: DataFrame) -> DataFrame:
     return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans(nodes), "tree_id").select("tree_id", "order", "start", "mid", "end")
 
 
+def _common(pairs, questions):
+    import pyarrow as pa
+
+    from cladeworks.operators import orders
+
+    if not pairs.num_rows or not questions.num_rows:
+        return pa.table({"id": questions["id"], "common": pa.nulls(questions.num_rows, pa.int64())}).slice(0, 0)
+    index = orders.RangeIndex(orders.lists(pairs["one"])[0], orders.lists(pairs["two"])[0])
+    return pa.table({"id": questions["id"], "common": pa.array(index.common(*(questions[c].to_numpy() for c in ("start_1", "end_1", "start_2", "end_2"))))})
+
+
+def range_overlaps(questions: DataFrame, trees: DataFrame, most: int = QUESTIONS) -> DataFrame:
+    """id, common: how many leaves two ranges of two trees' orders share, for questions (id, tree_1, start_1, end_1, tree_2, start_2, end_2).
+
+    trees: tree_id, order. For two trees that are asked about an index is built once, of n log n numbers, and each question
+    takes log n steps. Two trees with over ``most`` questions have these dealt to tasks, each with an index.
+    """
+    pair = ["tree_1", "tree_2"]
+    sizes = questions.groupBy(*pair).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    sizes = settle(sizes, "asked-pairs")
+    one, two = (trees.select(F.col("tree_id").alias(c), F.col("order").alias(k)) for c, k in zip(pair, ("one", "two"), strict=True))
+    indexed = sizes.join(one, "tree_1").join(two, "tree_2").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    several = sizes.where("parts > 1")
+    dealt = questions.join(several, pair, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    dealt = dealt.select(*pair, "part", *map(long, ("id", "start_1", "end_1", "start_2", "end_2")))
+    return indexed.groupBy(*pair, "part").cogroup(dealt.groupBy(*pair, "part")).applyInArrow(_common, "id long, common long")
+
+
 def _ranges(one, trees):
     import numpy as np
     import pyarrow as pa

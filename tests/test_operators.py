@@ -3,6 +3,7 @@
 import ast
 import itertools
 import math
+import os
 import random
 import re
 
@@ -13,9 +14,9 @@ from cladeworks.functions import bits, support
 from cladeworks.jobs import reports
 from cladeworks.jobs import trees as jobs
 from cladeworks.jobs.trees import Collection, Options, infer_species_tree
-from cladeworks.operators import ancestry, compare, dp, quartets, weights
+from cladeworks.operators import ancestry, compare, dp, orders, quartets, splits, weights
 from cladeworks.operators.components import components
-from cladeworks.session import temporary
+from cladeworks.session import temporary, work_dir
 from cladeworks.sources import stats
 
 
@@ -389,18 +390,13 @@ def test_bands(spark, collection, monkeypatch):
     assert {r.u.w0: r.score for r in dp.solve(two.weights, two.root, two.words, sum(k for _, k in sizes) - 1).collect()} == want
 
 
-def test_temporary_removes_all(spark, tmp_path):
-    import os
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/work")
-    try:
-        with temporary(spark):
-            found = infer_species_tree(lines(spark, [random_tree(random.Random(4), LABELS[:7]) for _ in range(3)]), Options(support="both")).first()
-            assert os.listdir(f"{tmp_path}/work")
-        assert found.newick and not os.listdir(f"{tmp_path}/work")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_temporary_removes_all(spark):
+    work = work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(work))
+    with temporary(spark):
+        found = infer_species_tree(lines(spark, [random_tree(random.Random(4), LABELS[:7]) for _ in range(3)]), Options(support="both")).first()
+        assert set(os.listdir(work)) - before
+    assert found.newick and set(os.listdir(work)) == before
 
 
 def test_components(spark):
@@ -412,3 +408,38 @@ def test_components(spark):
         for u, v in links:
             root[u] = root[v] = min(root[u], root[v])
     assert got == {x: root[x] for x in got} and set(got) >= {x for u, v in links if u != v for x in (u, v)}
+
+
+def test_range_index(spark, collection):
+    """Common leaves of any two ranges of two orders, against sets; with questions dealt to several tasks."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 9), (64, 64), (100, 37)):
+        one, two = rng.permutation(120)[:n], rng.permutation(120)[:m]
+        index = orders.RangeIndex(one, two)
+        cuts = np.sort(rng.integers(0, n + 1, (200, 2)), 1), np.sort(rng.integers(0, m + 1, (200, 2)), 1)
+        got = index.common(cuts[0][:, 0], cuts[0][:, 1], cuts[1][:, 0], cuts[1][:, 1])
+        assert got.tolist() == [len(set(one[a:b].tolist()) & set(two[x:y].tolist())) for (a, b), (x, y) in zip(*cuts, strict=True)]
+    trees, c = collection
+    by_tree = {}
+    for r in c.order.collect():
+        by_tree.setdefault(r.tree_id, {})[r.pos] = r.taxon
+    asked = [(i, t, a, b, u, x, y) for i, (t, u, a, b, x, y) in enumerate((t, u, a, b, x, y) for t in (0, 5) for u in (5, 11) for a in (0, 2) for b in (3, 6) for x in (0, 1) for y in (4, 6))]
+    df = spark.createDataFrame(asked, "id long, tree_1 long, start_1 long, end_1 long, tree_2 long, start_2 long, end_2 long")
+    got = {r.id: r.common for r in weights.range_overlaps(df, c.arrays, 3).collect()}
+    assert got == {i: len({by_tree[t][k] for k in range(a, b)} & {by_tree[u][k] for k in range(x, y)}) for i, t, a, b, u, x, y in asked}
+
+
+def test_hash_groups(spark, collection):
+    """Sets that share a hash are compared exactly: forced collisions are reported and told apart."""
+    _, c = collection
+    occurrences = c.nodes.select("tree_id", "start", "mid", "end", bits.union("left", "right", 1).alias("u")).withColumn("key", F.xxhash64("u"))
+    assert splits.check_groups(occurrences.drop("u"), c.arrays).where("part > 0").isEmpty()
+    forced = occurrences.withColumn("key", F.pmod(F.xxhash64("u"), F.lit(5)))
+    found = splits.check_groups(forced.drop("u"), c.arrays)
+    both = found.join(forced.drop("key"), ["tree_id", "start", "mid", "end"])
+    assert found.count() == c.nodes.count() and found.where("part > 0").count() > 0
+    each = both.groupBy("key", "part").agg(F.count_distinct("u").alias("sets"))
+    assert each.where("sets > 1").isEmpty()
+    assert both.groupBy("key", "u").agg(F.count_distinct("part").alias("parts")).where("parts > 1").isEmpty()
