@@ -48,8 +48,9 @@ class Collection:
         return newick.parse(self.lines, self.options.internal_labels, self._taxa)
 
     @cached_property
-    def tokens(self) -> DataFrame:
-        return settle(self._parsed.tokens, "tokens")
+    def trees(self) -> DataFrame:
+        """tree_id, labels, start, mid, end: accepted trees as arrays."""
+        return settle(self._parsed.trees, "trees")
 
     @cached_property
     def status(self) -> DataFrame:
@@ -57,7 +58,7 @@ class Collection:
 
     @cached_property
     def leaves(self) -> DataFrame:
-        return newick.leaves(self.tokens)
+        return newick.leaves(self.trees)
 
     @cached_property
     def taxa(self) -> DataFrame:
@@ -81,7 +82,7 @@ class Collection:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return settle(splits.node_splits(self.tokens, self.taxa, self.words), "nodes")
+        return settle(splits.node_splits(self.trees, self.taxa, self.words), "nodes")
 
     @cached_property
     def splits(self) -> DataFrame:

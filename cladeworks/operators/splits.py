@@ -34,27 +34,42 @@ def leaf_order(leaves: DataFrame, taxa: DataFrame) -> DataFrame:
     return leaves.join(_hint(taxa), "label").select("tree_id", "taxon", F.col("pos").cast("long").alias("pos"))
 
 
-def node_splits(tokens: DataFrame, taxa: DataFrame, n: int) -> DataFrame:
-    """tree_id, start, mid, end, left, right of each internal node: its leaf interval, and its two sides as sets (of n words, or hashed).
+def _sides(n: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    A running XOR of single-taxon sets is the set of all leaves so far; a side is the difference of two of these, so
-    no leaf is ever joined to a node. A hashed set's size is the length of its interval.
-    """
-    own = tokens.where("tok in ('(', ',', ')') or leaf").join(_hint(taxa), (F.col("tok") == F.col("label")) & F.col("leaf"), "left")
-    upto = Window.partitionBy("tree_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    none = F.lit(0).cast("long")
-    one = bits.singleton(F.col("taxon"), n)[: n or 2]
-    runs = [F.bit_xor(F.coalesce(F.when(F.col("leaf"), w), none)).over(upto).alias(f"x{i}") for i, w in enumerate(one)]
-    rows = own.select("tree_id", "tok", "depth", "node", "leaves", *runs).where("tok in ('(', ',', ')')")
-    at = lambda t, c: F.max(F.when(F.col("tok") == t, F.col(c)))
-    names = [("(", "s"), (",", "m"), (")", "e")]
-    nodes = rows.groupBy("tree_id", "depth", "node").agg(*(at(t, "leaves").alias(k) for t, k in names), *(at(t, f"x{i}").alias(f"{k}{i}") for t, k in names for i in range(len(one))))
+        for b in batches:
+            flat = lambda c: b.column(c).flatten().to_numpy()  # noqa: B023, E731
+            leaves, sizes = np.diff(b.column("w0").offsets.to_numpy()), np.diff(b.column("start").offsets.to_numpy())
+            base = np.repeat(np.concatenate([[0], np.cumsum(leaves)[:-1]]), sizes)
+            start, mid, end = (flat(c) for c in ("start", "mid", "end"))
+            upto = [np.concatenate([[0], np.bitwise_xor.accumulate(flat(f"w{i}"))]) for i in range(n or 2)]  # one run over all trees will do
+
+            def side(x, y):
+                words = [u[base + x] ^ u[base + y] for u in upto] + [y - x] * (n == bits.HASHED)  # noqa: B023
+                return pa.StructArray.from_arrays([pa.array(w) for w in words], names=[f"w{i}" for i in range(len(words))])
+
+            tree = b.column("tree_id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes)))
+            yield pa.record_batch([tree, pa.array(start), pa.array(mid), pa.array(end), side(start, mid), side(mid, end)], names=["tree_id", "start", "mid", "end", "left", "right"])
 
-    def side(a: str, b: str):
-        words = [F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(len(one))]
-        return bits.key(words + [(F.col(b) - F.col(a)).cast("long")] * (n == bits.HASHED))
+    return run
 
-    return nodes.select("tree_id", F.col("s").alias("start"), F.col("m").alias("mid"), F.col("e").alias("end"), side("s", "m").alias("left"), side("m", "e").alias("right"))
+
+def node_splits(trees: DataFrame, taxa: DataFrame, n: int) -> DataFrame:
+    """tree_id, start, mid, end, left, right of each internal node of trees (tree_id, labels, start, mid, end): its leaf interval, and its two sides as sets (of n words, or hashed).
+
+    The XOR of single-taxon sets along a tree's leaves is the set of all leaves so far; a side is the difference of two of
+    these, so no leaf is ever joined to a node. A hashed set's size is the length of its interval.
+    """
+    one = bits.singleton(F.col("taxon"), n)[: n or 2]
+    leaves = trees.select("tree_id", F.posexplode("labels").alias("pos", "label")).join(_hint(taxa), "label")
+    rows = leaves.select("tree_id", "pos", *(w.alias(f"w{i}") for i, w in enumerate(one))).groupBy("tree_id")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("pos", *(f"w{i}" for i in range(len(one)))))).alias("x"))
+    word = lambda i: F.transform("x", lambda v: v[f"w{i}"]).alias(f"w{i}")
+    both = rows.select("tree_id", *map(word, range(len(one)))).join(trees.select("tree_id", "start", "mid", "end"), "tree_id")
+    kind, of = bits.kind(n), dict(trees.dtypes)["tree_id"]
+    return both.mapInArrow(_sides(n), f"tree_id {of}, start long, mid long, end long, left {kind}, right {kind}")
 
 
 def spans(nodes: DataFrame) -> DataFrame:

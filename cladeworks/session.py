@@ -53,8 +53,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder, or at ``path``, and read it back: cuts lineage, survives lost executors."""
-    path = path or folder(df.sparkSession, name)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``path`` it is written there, and stays when a ``temporary`` block ends.
+    """
+    if path is None:
+        path = folder(df.sparkSession, name)
+    else:
+        for made in _made:
+            made[:] = [x for x in made if x != path]
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

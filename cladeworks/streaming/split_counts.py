@@ -24,7 +24,7 @@ def start(spark: SparkSession, folder: str, out: str, checkpoint: str, taxa: Dat
 
     def count(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("tree_id"), F.col("value").alias("newick"))
-        nodes = splits.node_splits(newick.parse(rows, taxa=taxa).tokens, taxa, bits.words(n_taxa))
+        nodes = splits.node_splits(newick.parse(rows, taxa=taxa).trees, taxa, bits.words(n_taxa))
         splits.frequencies(nodes).select("a", "b", "freq").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,6 +11,7 @@ from cladeworks import session
 from cladeworks.jobs.trees import Collection, Options, infer_species_tree
 from cladeworks.sources import newick, stats
 from pyspark.sql import functions as F
+from tests import windowed
 
 CASES = [
     ("((A,B),C);", "ok"), ("A;", "ok"), ("(A,B,C);", "not_binary"), ("((A),B);", "not_binary"), ("((A,B),C;", "unbalanced"), ("((A,B)0.95:0.1,C);", "ok"), ("((A,A),B);", "duplicate"), ("[&R] ((A,B),C);", "ok"),
@@ -27,6 +28,41 @@ def test_status(spark):
     assert strict[5] == "label" and strict[0] == "ok"
 
 
+def test_parse_as_by_windows(spark):
+    """Random lines, most of them with a fault, have the status, leaves and nodes that windows over tokens give them."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(("(", ")", ",", ";", "A", "B", "Ünï", "C", "(A,B)", "((A,B),C)", ":0.1", "[x]", " ")) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    for _ in range(60):
+        parts = [f"t{i}" for i in range(rng.randint(2, 40))]
+        while len(parts) > 1:
+            rng.shuffle(parts)
+            parts.append(f"({parts.pop()},{parts.pop()})")
+        t = parts[0] + ";"
+        texts += [f"({t[:-1]},t1);", t, t.replace(rng.choice("(),"), "", 1), t.replace(",", ",(", 1), t.replace(")", ")0.5", 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string")
+    for internal in ("ignore", "reject"):
+        got, (tokens, status) = newick.parse(df, internal), windowed.parse(df, internal)
+        want = sorted(map(tuple, status.collect()))
+        assert sorted(map(tuple, got.status.select("tree_id", "status", "n_leaves").collect())) == want and len({s for _, s, _ in want}) == 5
+        labels = {r.tree_id: r.labels for r in got.trees.collect()}
+        for t, pos, tok in tokens.where("leaf").select("tree_id", F.col("leaves") - 1, "tok").collect():
+            assert labels[t][pos] == tok
+        spot = lambda k: F.max(F.when(F.col("tok") == k, F.col("leaves")))
+        nodes = tokens.where("tok in ('(', ',', ')')").groupBy("tree_id", "depth", "node").agg(spot("(").alias("s"), spot(",").alias("m"), spot(")").alias("e"))
+        spans = [(r.tree_id, *x) for r in got.trees.collect() for x in zip(r.start, r.mid, r.end, strict=True)]
+        assert sorted(spans) == sorted((r.tree_id, r.s, r.m, r.e) for r in nodes.collect())
+
+
+def test_parse_needs_no_shuffle(spark):
+    """From lines to nodes there is no exchange, and a long line is parsed as one."""
+    n = 20_000
+    line = "(" * (n - 1) + "t0" + "".join(f",t{i})" for i in range(1, n)) + ";"
+    found = newick.parse(spark.createDataFrame([(1, line)], "tree_id long, newick string"))
+    assert "Exchange" not in found.trees._jdf.queryExecution().toString()
+    row = found.trees.first()
+    assert row.labels == [f"t{i}" for i in range(n)] and sorted(row.end) == list(range(2, n + 1)) and set(row.start) == {0}
+
+
 def test_files(spark, tmp_path):
     for folder, n in (("01", 3), ("02", 11)):
         (tmp_path / folder).mkdir()
