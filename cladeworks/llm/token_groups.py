@@ -200,8 +200,7 @@ def _prefixes(heavy):
             at = np.searchsorted(last, tokens)
             late = (last[np.minimum(at, len(last) - 1)] == tokens) if len(last) else np.zeros(len(tokens), bool)
             first = np.concatenate([tokens[~late], tokens[late]])[: len(tokens) - int(least_own(len(tokens))) + 1]
-            own = tokens[~late] if not late.all() else tokens
-            rows.append((sid, len(tokens), np.array([_mix(own ^ s).min() for s in salts]).view(np.int64), first.view(np.int64)))
+            rows.append((sid, len(tokens), np.array([_mix(tokens ^ s).min() for s in salts]).view(np.int64), first.view(np.int64)))
             size += len(first)
             if size >= 100_000:
                 yield out()
@@ -264,17 +263,36 @@ def _compared(batches):
 
 
 class Group:
-    """The sets of a group and the union of their tokens."""
+    """The sets of a group, the union of their tokens, and which of them are linked with each other, directly or by way of others."""
 
     def __init__(self):
-        self.ids, self.sets, self.union = [], [], None
+        self.ids, self.sets, self.union, self.heads = [], [], None, None
 
     def add(self, sid: int, tokens) -> None:
         self.ids.append(sid)
         self.sets.append(tokens)
 
-    def linked(self, tokens) -> list[int]:
-        """Members that link to a set. The group is opened only if its union holds as many of the set's tokens as any link needs."""
+    def _join(self) -> None:
+        """The first member of each one's links, by a search in which only members that are not reached yet are compared."""
+        import numpy as np
+
+        self.heads, left = {}, list(range(len(self.ids)))
+        while left:
+            head, wave, left = left[0], left[:1], left[1:]
+            while wave:
+                i = wave.pop()
+                self.heads[i] = head
+                near = [j for j in left if self._near(self.sets[i], self.sets[j], np)]
+                left = [j for j in left if j not in set(near)]
+                wave += near
+
+    @staticmethod
+    def _near(one, other, np) -> bool:
+        k = least_common(len(one), len(other))
+        return k <= min(len(one), len(other)) and len(np.intersect1d(one, other, assume_unique=True)) >= k
+
+    def linked(self, sid: int, tokens) -> list[int]:
+        """Members that a set links to, one of those that are linked with each other. The group is opened only if its union holds as many of the set's tokens as any link needs."""
         import numpy as np
 
         if self.union is None:
@@ -282,7 +300,16 @@ class Group:
         common = np.intersect1d(self.union, tokens, assume_unique=True)
         if len(common) < least_own(len(tokens)):
             return []
-        return [i for i, s in zip(self.ids, self.sets, strict=True) if len(common) >= (k := least_common(len(s), len(tokens))) and len(np.intersect1d(s, common, assume_unique=True)) >= k]
+        if self.heads is None:
+            self._join()
+        if sid in self.ids:
+            head = self.heads[self.ids.index(sid)]
+            return [self.ids[head]] if self.ids[head] != sid else []
+        found: dict[int, int] = {}
+        for i, s in enumerate(self.sets):
+            if self.heads[i] not in found and len(common) >= least_common(len(s), len(tokens)) and self._near(s, tokens, np):
+                found[self.heads[i]] = self.ids[i]
+        return list(found.values())
 
 
 def _opened(batches):
@@ -301,10 +328,9 @@ def _opened(batches):
                 if sid not in group.ids:
                     group.add(sid, tokens)
             elif group.ids:
-                for v in group.linked(tokens):
-                    if v != query:
-                        us.append(query)
-                        vs.append(v)
+                for v in group.linked(query, tokens):
+                    us.append(query)
+                    vs.append(v)
         yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
@@ -318,10 +344,11 @@ def _wanted(docs: DataFrame, rows: DataFrame, ids: DataFrame, name: str) -> Data
     """sid, tokens of the sets whose ids (sid) are given. Of the texts only one row for each is worked on, unless these are more than MOST."""
     ids = small(ids.distinct(), MOST, name)
     holders = settle(rows.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("holder")).select("holder").distinct(), "holders")
-    if holders.limit(MOST + 1).count() <= MOST:
+    few_rows = holders.limit(MOST + 1).count() <= MOST
+    if few_rows:
         docs = docs.join(F.broadcast(holders), docs["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
-    made = docs.select("text").mapInArrow(_sets, "sid long, tokens binary")
-    return settle(made.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
+    made = docs.select("text").mapInArrow(_sets, "sid long, tokens binary").join(ids, "sid", "left_semi")
+    return settle(made if few_rows else made.dropDuplicates(["sid"]), "token-sets")  # that a set comes twice does no harm
 
 
 def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
