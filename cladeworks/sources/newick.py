@@ -176,6 +176,30 @@ def _shapes(batches):
         yield pa.record_batch([b.column("tree_id"), *columns], names=["tree_id", *(c.split()[0] for c in SHAPE.split(", "))])
 
 
+def shaped(lines: DataFrame) -> DataFrame:
+    """tree_id and the columns of SHAPE for (tree_id, newick) lines that are not blank: one pass, so streams will do as well."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("newick", r"\[[^\]]*\]", ""), r"\s", ""), ":[^,();]*", "")
+    rows = lines.where(F.trim("newick") != "").select("tree_id", text.alias("text")).where("text <> ''")
+    return rows.mapInArrow(_shapes, f"tree_id {dict(lines.dtypes)['tree_id']}, {SHAPE}")
+
+
+def status_of(internal_labels: str, strange: Column) -> Column:
+    """'ok', or why a line of ``shaped`` is no tree; ``strange`` tells that a leaf is not in the dictionary."""
+    whole = (F.col("roots") == 1) & (F.col("root_start") == 0) & (F.col("root_end") == F.col("n_leaves")) & F.col("paired")
+    return (
+        F.when((F.col("open") != 0) | (F.col("ends") > 1), "unbalanced")
+        .when(F.col("internal") & F.lit(internal_labels == "reject"), "label")
+        .when(F.col("n_leaves") == 0, "label")
+        .when(F.col("roots").isNull(), F.when((F.col("n_leaves") == 1) & ~F.col("misplaced"), F.when(strange, "unknown").otherwise("ok")).otherwise("unbalanced"))
+        .when(~whole, "unbalanced")
+        .when(~F.col("binary"), "not_binary")
+        .when(F.col("misplaced"), "label")
+        .when(strange, "unknown")
+        .when(F.size(F.array_distinct("labels")) < F.col("n_leaves"), "duplicate")
+        .otherwise("ok")
+    )
+
+
 def parse(lines: DataFrame, internal_labels: str = "ignore", taxa: DataFrame | None = None) -> Parsed:
     """Parse (tree_id, newick) lines, in one pass over their bytes and without a shuffle; what is found is written at once.
 
@@ -185,26 +209,10 @@ def parse(lines: DataFrame, internal_labels: str = "ignore", taxa: DataFrame | N
     ``duplicate`` labels, ``unbalanced`` or surplus parts, ``not_binary``; and ``unknown`` if a dictionary ``taxa``
     (label) is given and a leaf is not in it.
     """
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("newick", r"\[[^\]]*\]", ""), r"\s", ""), ":[^,();]*", "")
-    rows = lines.where(F.trim("newick") != "").select("tree_id", text.alias("text")).where("text <> ''")
-    found = settle(rows.mapInArrow(_shapes, f"tree_id {dict(lines.dtypes)['tree_id']}, {SHAPE}"), "parsed")
+    found = settle(shaped(lines), "parsed")
     found = found.withColumn("strange", F.lit(False))
     if taxa is not None:
         strange = leaves(found).join(taxa.select("label"), "label", "left_anti").select("tree_id").distinct()
         found = found.drop("strange").join(strange.withColumn("strange", F.lit(True)), "tree_id", "left")
-    is_strange = F.coalesce("strange", F.lit(False))
-    whole = (F.col("roots") == 1) & (F.col("root_start") == 0) & (F.col("root_end") == F.col("n_leaves")) & F.col("paired")
-    status = (
-        F.when((F.col("open") != 0) | (F.col("ends") > 1), "unbalanced")
-        .when(F.col("internal") & F.lit(internal_labels == "reject"), "label")
-        .when(F.col("n_leaves") == 0, "label")
-        .when(F.col("roots").isNull(), F.when((F.col("n_leaves") == 1) & ~F.col("misplaced"), F.when(is_strange, "unknown").otherwise("ok")).otherwise("unbalanced"))
-        .when(~whole, "unbalanced")
-        .when(~F.col("binary"), "not_binary")
-        .when(F.col("misplaced"), "label")
-        .when(is_strange, "unknown")
-        .when(F.size(F.array_distinct("labels")) < F.col("n_leaves"), "duplicate")
-        .otherwise("ok")
-    )
-    found = found.withColumn("status", status)
+    found = found.withColumn("status", status_of(internal_labels, F.coalesce("strange", F.lit(False))))
     return Parsed(found.where("status = 'ok'").select("tree_id", "labels", "start", "mid", "end"), found.select("tree_id", "status", "n_leaves"))

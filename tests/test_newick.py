@@ -92,16 +92,35 @@ def test_stats(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
+    """Counts go on after a restart, a batch that runs again changes nothing, and merging batches does not, either."""
     from cladeworks.streaming import split_counts
 
     taxa = spark.createDataFrame([(i, c) for i, c in enumerate("ABC")], "taxon long, label string")
-    folder = tmp_path / "in"
+    folder, out, check = tmp_path / "in", f"{tmp_path}/out", tmp_path / "check"
     folder.mkdir()
-    for i, text in enumerate(["((A,B),C);\n((B,A),C);\nbad;;\n", "((A,B),C);\n(A,(B,C));\n((A,X),C);\n"]):
+    run = lambda: split_counts.start(spark, str(folder), out, str(check), taxa, 3).awaitTermination()
+    read = lambda: {(r.a.w0, r.b.w0): r.freq for r in split_counts.totals(spark, out).collect()}
+    want = []
+    for i, (text, total) in enumerate([("((A,B),C);\n((B,A),C);\nbad;;\n\n", {(1, 2): 2, (3, 4): 2}), ("((A,B),C);\n(A,(B,C));\n((A,X),C);\n(A,A);\n", {(1, 2): 3, (3, 4): 3, (2, 4): 1, (1, 6): 1})]):
         (folder / f"{i}.txt").write_text(text)
-        split_counts.start(spark, str(folder), f"{tmp_path}/out", f"{tmp_path}/check", taxa, 3).awaitTermination()
-    got = {(r.a.w0, r.b.w0): r.freq for r in split_counts.totals(spark, f"{tmp_path}/out").collect()}
-    assert got == {(1, 2): 3, (3, 4): 3, (2, 4): 1, (1, 6): 1}
+        run()
+        want.append(total)
+        assert read() == total
+    for name in ("1", ".1.crc"):  # as if the driver had been lost before it noted that the last batch was over
+        (check / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert read() == want[1] and len(os.listdir(out)) == 2
+    split_counts.compact(spark, f"file://{out}")
+    assert read() == want[1] and os.listdir(out) == ["batch=1"]
+    (folder / "2.txt").write_text("(C,(A,B));\n")
+    run()
+    assert read() == want[1] | {(1, 2): 4, (3, 4): 4}
+    # one that broke off when the last batch was half replaced
+    split_counts.totals(spark, out).write.parquet(f"{out}/_merged-2")
+    for f in os.listdir(f"{out}/batch=2"):
+        os.remove(f"{out}/batch=2/{f}")
+    split_counts.compact(spark, f"file://{out}")
+    assert read() == want[1] | {(1, 2): 4, (3, 4): 4} and os.listdir(out) == ["batch=2"]
 
 
 def test_options():
