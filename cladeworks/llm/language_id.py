@@ -12,8 +12,8 @@ from cladeworks.session import settle
 
 #: n-grams of 1 to 3 code points; entries of a profile, of a text as of a language.
 ORDERS, PROFILE = 3, 300
-#: Most languages whose profiles, 300 rows each, are broadcast; those of more are joined.
-MOST_LANGUAGES = 5_000
+#: Most bytes of a table of languages by n-grams that is broadcast, 2 for each cell; larger ones are joined.
+MOST_BYTES = 1 << 27
 #: Code points that are counted at a time.
 PIECE = 1 << 20
 
@@ -106,7 +106,7 @@ class _Profiles:
 
         self.names = sorted({r.lang for r in rows})
         self.grams = np.unique(np.array([r.gram for r in rows], np.int64))
-        self.ranks = np.full((len(self.names), len(self.grams)), -1, np.int64)
+        self.ranks = np.full((len(self.names), len(self.grams)), -1, np.int16)
         at = {x: i for i, x in enumerate(self.names)}
         for r in rows:
             self.ranks[at[r.lang], np.searchsorted(self.grams, r.gram)] = r.r
@@ -192,12 +192,13 @@ def identify(docs: DataFrame, profiles: DataFrame, *more: str, keep_text: bool =
     profiles: lang, gram, r, as learned. A null text, one without a letter, and any text if no language was learned
     get ``und`` and 0. The score is the lead of the nearest language over the second in distance, as a share of the
     second's (0 for a tie, which goes to the name that sorts first). Texts of any length are counted whole; repeated
-    rows get a result each; an empty table gives none; columns that are not named are left behind. Profiles of up to
-    MOST_LANGUAGES languages go to every task; more are joined with the texts' n-grams, with the same result.
+    rows get a result each; an empty table gives none; columns that are not named are left behind. Profiles whose
+    table has up to MOST_BYTES go to every task; larger ones are joined with the texts' n-grams, with the same result.
     """
     rows = texts(docs, *more)
     kinds = dict(rows.dtypes)
-    if profiles.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+    size = profiles.agg(F.count_distinct("lang").alias("langs"), F.count_distinct("gram").alias("grams")).first()
+    if 2 * size.langs * size.grams <= MOST_BYTES:
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if keep_text or c != "text")
         held = docs.sparkSession.sparkContext.broadcast(_Profiles(list(profiles.toLocalIterator())))
         return rows.mapInArrow(_predict(held, keep_text), f"{schema}, lang_pred string, score double")

@@ -218,10 +218,10 @@ def language_by_brute_force(text, profiles):
     return away[0][1], (second - away[0][0]) / second if second else 0.0
 
 
-@pytest.mark.parametrize("most", [5000, 0])
+@pytest.mark.parametrize("most", [10**8, 0])
 def test_language_by_distance(spark, small, odd, make, monkeypatch, most):
     """Profiles, predictions and scores against brute force, with profiles that go to every task and with joins."""
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", most)
+    monkeypatch.setattr(language_id, "MOST_BYTES", most)
     docs = spark.read.parquet(f"{small}/documents.parquet")
     learned = collections.defaultdict(dict)
     found = language_id.learn(docs)
