@@ -564,12 +564,27 @@ occurrence AS (SELECT tree_id, least(l, r) AS a, greatest(l, r) AS b, blk << (lv
 dsplit AS (SELECT a, b, count(*) AS freq, min({'t': tree_id, 's': s, 'm': mid, 'e': e}) AS f FROM occurrence GROUP BY 1, 2)"""
 
 
-@query(SUPPLIERS + OVERLAPS + " SELECT f.t AS tree_id, CAST(f.s AS BIGINT) AS first_leaf, CAST(f.m AS BIGINT) AS middle, CAST(f.e AS BIGINT) AS end_leaf, freq, weight FROM weight JOIN dsplit USING (a, b)")
+_SUPPLIER_WEIGHTS = SUPPLIERS + OVERLAPS + " SELECT f.t AS tree_id, CAST(f.s AS BIGINT) AS first_leaf, CAST(f.m AS BIGINT) AS middle, CAST(f.e AS BIGINT) AS end_leaf, freq, weight FROM weight JOIN dsplit USING (a, b)"
+
+
+def _supplier_weights(trees: Collection) -> DataFrame:
+    at = lambda c, name: F.col(f"first.{c}").cast("long").alias(name)
+    return trees.splits.join(trees.weights, ["a", "b"]).select(F.col("first.tree_id").alias("tree_id"), at("start", "first_leaf"), at("mid", "middle"), at("end", "end_leaf"), "freq", "weight")
+
+
+@query(_SUPPLIER_WEIGHTS)
 def supplier_split_weights(spark, sf_dir):
     """Weights where taxa are many, as many as suppliers: sets of several words, or hashes and leaf orders."""
+    return _supplier_weights(derived_trees(spark, sf_dir, "supplier"))
+
+
+@query(_SUPPLIER_WEIGHTS)
+def supplier_weights_hashed(spark, sf_dir):
+    """The same with hashed sets and along leaf orders, however few suppliers there are."""
     trees = derived_trees(spark, sf_dir, "supplier")
-    at = lambda c, name: F.col(f"first.{c}").cast("long").alias(name)
-    return trees.splits.join(trees.weights, ["a", "b"]).select(F.col("first.tree_id").alias("tree_id"), at("start", "first_leaf"), at("mid", "middle"), at("end", "end_leaf"), "freq", "weight")
+    hashed = Collection(trees.lines, taxa=trees.taxa)
+    hashed.words = bits.HASHED
+    return _supplier_weights(hashed)
 
 
 #: Sets around the inner branches of the first tree, by its leaf order, and quartets in all trees, for up to 126 suppliers.
