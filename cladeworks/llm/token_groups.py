@@ -365,8 +365,8 @@ def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[Dat
     dealt = dealt.unionByName(anchors).repartition("key", "part").sortWithinPartitions("key", "part", "n", "sid")
     pairs = settle(dealt.select("key", "part", "n", "sid").mapInArrow(_neighbours, "u long, v long").groupBy("u", "v").count().where("count > 1").drop("count"), "first-pairs")
     tokens = _wanted(docs, rows, pairs.select(F.col("u").alias("sid")).union(pairs.select("v")), "compared")
-    partners = pairs.join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
-    own = tokens.join(pairs.select(F.col("u").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
+    partners = small(pairs, MOST, "partners").join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
+    own = tokens.join(small(pairs.select(F.col("u").alias("sid")).distinct(), MOST, "firsts"), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
     links = settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
     return links, settle(keyed.groupBy("sid").agg(F.min("key").alias("key")), "near")
 
@@ -454,8 +454,9 @@ def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, near: DataFrame, l
     placed = _placed(sets, near, links)
     shared = placed.select("root", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
     bitmap = _marked(settle(shared, "shared-tokens"))
-    rows = settle(placed.mapInArrow(_some(bitmap), "sid long, n long, root long, of long, g long, token long"), "matrix")
+    entries = settle(placed.mapInArrow(_some(bitmap), "sid long, n long, root long, of long, g long, token long"), "matrix")
     bitmap.unpersist()
+    rows = entries.repartition("token")  # sums by token and the join have no other exchange
     matrix = rows.groupBy("token", "g", "of").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("one_root"), F.max("root").alias("last_root"))
     other = matrix.select("token", F.col("g").alias("its_g"), F.col("of").alias("its_of"), "least", "most", "one_root", "last_root")
     ahead = (F.col("its_of") > F.col("of")) | ((F.col("its_of") == F.col("of")) & (F.col("its_g") >= F.col("g")))
@@ -464,12 +465,12 @@ def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, near: DataFrame, l
     asked = rows.distinct().join(other, "token").where(new & ahead & fits)
     asked = asked.groupBy(F.col("its_g").alias("g"), "sid").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     asked = settle(asked.where(_may_link()).select("g", "sid", "n"), "asked")
-    members = settle(rows.select("g", "sid").distinct().join(asked.select("g").distinct(), "g", "left_semi"), "group-members")
+    members = settle(entries.select("g", "sid").distinct().join(asked.select("g").distinct(), "g", "left_semi"), "group-members")
     tokens = _wanted(docs, marks, asked.select("sid").union(members.select("sid")), "opened")
     hot = settle(_parts(asked, "g"), "hot-groups").select("g", "parts")
     queries = asked.join(F.broadcast(hot), "g", "left").select("g", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("sid").alias("query"), "sid")
     copies = members.join(F.broadcast(hot), "g", "left").select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("query"), "sid")
-    dealt = queries.unionByName(copies).join(tokens, "sid").repartition("g", "part").sortWithinPartitions("g", "part", F.asc_nulls_first("query"))
+    dealt = small(queries.unionByName(copies), MOST, "opened-rows").join(tokens, "sid").repartition("g", "part").sortWithinPartitions("g", "part", F.asc_nulls_first("query"))
     return settle(dealt.select("g", "part", "query", "sid", "tokens").mapInArrow(_opened, "u long, v long"), "links")
 
 
