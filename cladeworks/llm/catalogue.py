@@ -14,7 +14,7 @@ from cladeworks.llm.repair import OP12_SQL, op12_structure_repair
 from cladeworks.llm.revisits import OP5_SQL, op5_revisits
 from cladeworks.llm.simhash_dedup import op8_simhash_dedup
 from cladeworks.llm.token_files import op3_token_files
-from cladeworks.llm.token_groups import op13_token_groups
+from cladeworks.llm.token_groups import OP13_SQL, op13_token_groups
 
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_fingerprints, op3_token_files, op4_language_id, op5_revisits, op6_line_dedup, op7_packing, op8_simhash_dedup, op9_kneser_ney, op10_decontamination, op11_prefix_trie, op12_structure_repair, op13_token_groups)}
-ORACLE_SQL = {"op5_revisits": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
+ORACLE_SQL = {"op5_revisits": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL, "op13_token_groups": OP13_SQL}

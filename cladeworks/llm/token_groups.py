@@ -526,3 +526,16 @@ def _named(rows: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
 def op13_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of shingles and component of every document; cases as in ``similar``."""
     return similar(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+own AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM doc),
+token AS MATERIALIZED (SELECT r, unnest(s) AS t FROM own),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM token a JOIN token b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2),
+half AS (SELECT x, y FROM shared JOIN own a ON a.r = x JOIN own b ON b.r = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+link AS MATERIALIZED (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT r, r AS other FROM own UNION SELECT reach.r, y FROM reach JOIN link ON x = other)
+SELECT o.doc_id, CAST(len(o.s) AS BIGINT) AS n_shingles, min(p.doc_id) AS component_id FROM own o JOIN reach ON reach.r = o.r JOIN own p ON p.r = other GROUP BY o.r, o.doc_id, o.s"""

@@ -221,7 +221,7 @@ def test_repair_of_nothing(spark):
     assert repair.reports(repair.repair(convs(spark, []).drop("times"))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_structure_repair"])
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_structure_repair", "op13_token_groups"])
 def test_sql(spark, small, duck, name):
     assert comparable(QUERIES[name](spark, small).toPandas()) == comparable(duck(ORACLE_SQL[name], small))
 
