@@ -12,7 +12,7 @@ from cladeworks.session import settle
 #: Words of a shingle; least intersection of linked documents, in hundredths of their union.
 WORDS, LEAST = 4, 85
 #: Tokens that at least one in SHARE documents have, and FLOOR of them, come last in all orders of tokens.
-SHARE, FLOOR = 1024, 64
+SHARE, FLOOR = 2048, 64
 #: Bytes of the texts whose words are taken together.
 AT_ONCE = 1 << 20
 #: Tokens that a task gathers before it counts them, and whose counts it keeps; words whose hashes it keeps.
@@ -102,7 +102,7 @@ class _Frequent:
     """Counts of the tokens of the sets given. Of more than KEPT tokens the half that is found least is forgotten.
 
     A token loses less than one for each KEPT / 2 tokens seen, so none that one in SHARE sets has is missed while sets
-    have at most some 900 tokens on average; a missed one does not come last, which costs time, not links.
+    have at most some 450 tokens on average; a missed one does not come last, which costs time, not links.
     """
 
     def __init__(self):
