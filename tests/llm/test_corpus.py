@@ -371,6 +371,66 @@ def test_decontamination_of_edited_items(spark, make, kind):
     assert not any(got[len(items) + i].contaminated for i in range(len(clean)))
 
 
+def by_every_window(items, text):
+    """The items that stand in a text: each window with each part, without candidates."""
+    ws = decontamination.words(text.encode())
+    numbers, found = items.numbers(ws), set()
+    for at in range(0, max(1, len(ws) - 16), 16):
+        for (i, own), answer in zip(items.parts, items.answers, strict=True):
+            n = len(own)
+            span = numbers[max(0, at - n) : at + 32 + n].tolist()
+            common = decontamination.common_length(own, span)
+            if common >= n - decontamination.most_missing(n) or answer and 2 * common >= n and decontamination.common_length(answer, span) >= 0.8 * len(answer):
+                found.add(items.ids[i])
+    return sorted(found)
+
+
+def test_most_missing():
+    """A quarter at least, 35 hundredths at most, and 95 in 100 copies with edits at a chance of 0.2 where that is allowed."""
+    for n in range(1, 65):
+        most = decontamination.most_missing(n)
+        assert n // 4 <= most <= max(n // 4, 0.35 * n)
+        below = sum(math.comb(n, k) * 0.2**k * 0.8 ** (n - k) for k in range(most + 1))
+        assert n < 12 or below >= 0.95 or most == int(0.35 * n)
+
+
+def test_decontamination_by_every_window(spark, make):
+    """The same items as by comparing every window with every part: copies edited at a chance of 0.2 a word, halves of items with their answer, clean documents."""
+    rng = random.Random(14)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    vocabulary = [w for t in docs[:300] for w in t.split()]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(50).collect()]
+
+    def edited(x, kind):
+        out = []
+        for w in x.split():
+            if rng.random() >= 0.2:
+                out.append(w)
+            elif kind != "drop":
+                out += {"replace": [text(1)], "insert": [text(1), w], "swap": [w, *out[-1:]]}[kind]
+                if kind == "swap" and len(out) > 2:
+                    del out[-3]
+        return " ".join(out)
+
+    def answered(x):
+        w = x.split()
+        for i in rng.sample(range(len(w) * 3 // 4), len(w) * 2 // 5):
+            w[i] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    kinds = ("replace", "drop", "insert", "swap")
+    texts = [f"{text(60)} {edited(x, k)} {text(60)}" for k in kinds for x in items] + [f"{text(60)} {answered(x)} {text(60)}" for x in items]
+    texts += [text(200) for _ in range(20)] + [t for t in docs if len(t) < 1500][:80]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontamination.find_benchmark(make(texts), bench).collect()}
+    parts = decontamination.Items([*enumerate(items)])
+    assert [got[i] for i in range(len(texts))] == [by_every_window(parts, t) for t in texts]
+    for k in range(5):
+        assert sum(i in got[50 * k + i] for i in range(50)) >= 45
+    assert not any(got[i] for i in range(250, 270))
+
+
 def test_pipeline(spark, small, odd, empty, tmp_path):
     """Each stage against what it must keep, on its own input."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
