@@ -385,6 +385,11 @@ def by_every_window(items, text):
     return sorted(found)
 
 
+def test_words_of_any_case():
+    assert decontamination.words("SEÑOR, Él\tÀ-Ж".encode()) == [x.encode() for x in ("señor", "él", "à", "ж")] == decontamination.words("señor él à ж".encode())
+    assert decontamination.words(b"\xff A") == ["\ufffd".encode(), b"a"]
+
+
 def test_most_missing():
     """A quarter at least, 35 hundredths at most, and 95 in 100 copies with edits at a chance of 0.2 where that is allowed."""
     for n in range(1, 65):
