@@ -1,4 +1,4 @@
-"""All rows of one table against all of another, in blocks: each task gets one block of either."""
+"""Rows in blocks of bounded size: all of one table against all of another, each task with one block of either; or a task's batches in parts."""
 
 from __future__ import annotations
 
@@ -20,3 +20,20 @@ def against(one: DataFrame, other: DataFrame, run: Callable, schema: str, sizes:
     x = one.withColumn("block_x", deal(one, 0)).withColumn("block_y", every(1))
     y = other.withColumn("block_y", deal(other, 1)).withColumn("block_x", every(0))
     return x.groupBy("block_x", "block_y").cogroup(y.groupBy("block_x", "block_y")).applyInArrow(run, schema)
+
+
+def limited(batches, column: str, most: int):
+    """The batches in parts whose lists or texts in ``column`` have about ``most`` elements or bytes together, or one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        values = b.column(column)
+        sizes = (pc.list_value_length if hasattr(values.type, "value_type") else pc.binary_length)(values)
+        upto = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+            yield b if j - i == b.num_rows else b.take(pa.array(np.arange(i, j)))
+            i = j

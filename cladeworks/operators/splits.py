@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
+from cladeworks.operators.blocks import limited
 from cladeworks.session import settle
 
 #: Most taxa (a label and a number each) that are broadcast to every task; beyond, they are joined.
 MOST_TAXA = 1_000_000
+#: Leaves of trees that a task makes the nodes of together (some 150 bytes each).
+LEAVES = 500_000
 
 
 def dictionary(leaves: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def _sides(n: int):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in limited(batches, "w0", LEAVES):
             flat = lambda c: b.column(c).flatten().to_numpy()  # noqa: B023, E731
             leaves, sizes = np.diff(b.column("w0").offsets.to_numpy()), np.diff(b.column("start").offsets.to_numpy())
             base = np.repeat(np.concatenate([[0], np.cumsum(leaves)[:-1]]), sizes)

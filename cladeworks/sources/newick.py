@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeworks.operators.blocks import limited
 from cladeworks.session import settle
 
+#: Bytes of the lines that a task parses together, or one line (some 80 bytes are held for each).
+AT_ONCE = 1 << 21
+
 
 def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """tree_id, newick of the non-blank lines of a text file; ids ascend with the lines. ``first``: only so many lines.
@@ -159,7 +163,7 @@ def _shapes(batches):
     def cut(line, values, n):
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line, minlength=n))]).astype(np.int32)), values)
 
-    for b in batches:
+    for b in limited(batches, "text", AT_ONCE):
         column = b.column("text").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         text = np.frombuffer(column.buffers()[2] or b"", np.uint8)
