@@ -609,5 +609,5 @@ def supplier_quartets(spark, sf_dir):
     """Quartets around the branches of the first tree where taxa are many, along the trees' leaf orders."""
     trees = derived_trees(spark, sf_dir, "supplier")
     first = F.broadcast(trees.nodes.agg(F.min("tree_id").alias("tree_id")))
-    found = quartets.frequencies_along(trees.nodes.join(first, "tree_id"), trees.order.join(first, "tree_id"), trees.taxa, trees.arrays, trees.order)
+    found = quartets.frequencies_along(trees.nodes.join(first, "tree_id"), trees.order.join(first, "tree_id"), trees.taxa, trees.arrays)
     return found.select(F.col("start").alias("first_leaf"), F.col("end").alias("end_leaf"), *(F.col(c).cast("long").alias(c) for c in ("f1", "f2", "f3", "n", "possible")))

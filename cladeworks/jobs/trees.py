@@ -148,7 +148,7 @@ class Collection:
         rows = tree.select(F.lit(0).cast("long").alias("tree_id"), "u", "a", "b", F.lit(None).cast("string").alias("note"))
         own = Collection(dp.newick(rows, self.taxa, self.words), taxa=self.taxa)
         own.words = self.words
-        counts = quartets.frequencies_along(own.nodes, own.order, self.taxa, self.arrays, self.order)
+        counts = quartets.frequencies_along(own.nodes, own.order, self.taxa, self.arrays)
         branch = own.nodes.select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), bits.union("left", "right", self.words).alias("branch"))
         return branch.join(counts, ["start", "end"]).drop("start", "end")
 

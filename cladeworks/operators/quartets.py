@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import bits
 from cladeworks.operators.blocks import against
-from cladeworks.operators.weights import trees_of_a_block
+from cladeworks.operators.weights import tree_arrays, trees_of_a_block
 from cladeworks.session import settle
 
-#: Rows of branches and of splits that meet in one task; nodes whose branches are counted along leaf orders in one task.
-BRANCHES, SPLITS, FAMILIES = 512, 4096, 2048
+#: Rows of branches and of splits that meet in one task; least tasks that count along leaf orders, if trees are as many.
+BRANCHES, SPLITS, TASKS = 512, 4096, 64
 
 
 def quadripartitions(tree: DataFrame, every: DataFrame, n: int) -> DataFrame:
@@ -72,66 +72,38 @@ def _families(nodes: DataFrame) -> DataFrame:
     return parts.join(left, ["start", "mid"], "left").join(right, ["mid", "end"], "left").where("left_mid is not null or right_mid is not null").select("start", "left_mid", "mid", "right_mid", "end")
 
 
-def _along(n_all: int):
-    def run(families, trees):
-        import numpy as np
-        import pyarrow as pa
+def _along(tree, trees):
+    import numpy as np
+    import pyarrow as pa
 
-        from cladeworks.operators import orders
-
-        columns = {c: families[c].to_pylist() for c in ("start", "left_mid", "mid", "right_mid", "end")}
-        bounds, colours, rest = [], [], []
-        for s, x, m, y, e in zip(*columns.values(), strict=True):
-            both = x is not None and y is not None
-            bounds.append((s, x, m, y, e) if both else (s, x, m, e, e) if x is not None else (s, m, y, e, e))
-            colours.append((0, 1, 2, 3) if x is not None else (2, 0, 1, 3))
-            rest.append(not both)
-        bounds, colours, rest = np.array(bounds, np.int64).reshape(-1, 5), np.array(colours, np.int64).reshape(-1, 4), np.array(rest, bool)
-        high, low = np.zeros((4, len(rest)), np.int64), np.zeros((4, len(rest)), np.int64)
-        every = np.arange(n_all)  # leaves are known by their places in the tree itself
-        met = [orders.Order(*arrays) for arrays in zip(*(orders.lists(trees[c]) for c in ("order", "start", "mid", "end")), strict=True)]
-        for part, sets in orders.intervals(every, bounds, colours):
-            others, size = rest[part], part.stop - part.start
-            for tree in met:
-                b, number, colour = orders.branches(tree, sets, 4)
-                for side, whole in ((b.first, b.sizes[0]), (b.second, b.sizes[1])):
-                    side[3] = np.where(others[b.number], whole - side[0] - side[1] - side[2], side[3])
-                (a, c, e, g), (aa, cc, ee, gg) = b.first, b.second
-                own = np.bincount(number * 4 + colour, minlength=4 * size).reshape(size, 4)
-                own[:, 3] = np.where(others, tree.n - own[:, :3].sum(1), own[:, 3])
-                found = [
-                    orders.totals(b.number, a * c * ee * gg + aa * cc * e * g, size), orders.totals(b.number, a * e * cc * gg + aa * ee * c * g, size),
-                    orders.totals(b.number, a * g * cc * ee + aa * gg * c * e, size), own.prod(1),
-                ]
-                for i, x in enumerate(found):
-                    high[i, part] += x >> 32
-                    low[i, part] += x & 0xFFFFFFFF
-        return pa.table({c: families[c] for c in ("start", "mid")} | {f"{f}_{k}": pa.array(x[i]) for k, x in (("high", high), ("low", low)) for i, f in enumerate(("f1", "f2", "f3", "n"))})
+    from cladeworks.operators import orders
 
-    return run
+    if not tree.num_rows:
+        return pa.table({c: pa.nulls(0, pa.int64()) for c in ("start", "mid", *(f"{f}_{k}" for k in ("high", "low") for f in ("f1", "f2", "f3", "n")))})
+    order, start, mid, end = (orders.lists(tree[c])[0] for c in ("order", "start", "mid", "end"))
+    own = orders.Own(order, start, mid, end, mid)
+    counts = orders.quartets(own, list(zip(*(orders.lists(trees[c]) for c in ("order", "start", "mid", "end")), strict=True)))
+    mid = mid[(own.left[mid] > 0) | (own.right[mid] > 0)]
+    return pa.table({"start": pa.array(own.start[mid].astype(np.int64)), "mid": pa.array(mid.astype(np.int64))} | {f"{f}_{k}": pa.array(x[i][mid]) for k, x in zip(("high", "low"), counts, strict=True) for i, f in enumerate(("f1", "f2", "f3", "n"))})
 
 
-def frequencies_along(nodes: DataFrame, order: DataFrame, taxa: DataFrame, trees: DataFrame, leaf_order: DataFrame) -> DataFrame:
+def frequencies_along(nodes: DataFrame, order: DataFrame, taxa: DataFrame, trees: DataFrame) -> DataFrame:
     """start, end, f1, f2, f3, n, possible of the inner branches of one tree, as ``frequencies`` counts them, for any number of taxa.
 
-    nodes (start, mid, end) and order (taxon, pos) are the tree's; taxa (taxon) all there are; trees (tree_id, start, mid,
-    end as arrays) and leaf_order (tree_id, taxon, pos) the gene trees'. A branch is known by the leaves below it. Its
-    first two sets are its parts in leaf order, the others those of its sibling, or a leaf that is its sibling and all
-    other taxa. The sets of two sibling branches are the same, so they are counted once, by their parent: its leaves,
-    with four colours, are put in each gene tree's order, and counted at the nodes where they branch. So a branch costs
-    its parent's leaves, not all taxa, for each tree. Counts are exact, as decimals.
+    nodes (start, mid, end) and order (taxon, pos) are the tree's; taxa (taxon) all there are; trees (tree_id, order, start,
+    mid, end as arrays) the gene trees. A branch is known by the leaves below it. Its first two sets are its parts in leaf
+    order, the others those of its sibling, or a leaf that is its sibling and all other taxa. The sets of two sibling
+    branches are the same, so they are counted once, by their parent: its leaves, with four colours, in each gene tree's
+    order, are counted at the nodes where they branch. So a branch costs its parent's leaves, not all taxa, for each
+    tree. Counts are exact, as decimals.
     """
     sizes = taxa.select("taxon").distinct().count()
-    placed = order.select("taxon", F.col("pos").alias("place"))
-    n_tree = order.count()
-    # a leaf that the tree lacks is one of all others: it gets a place beyond the tree's
-    renamed = leaf_order.join(placed, "taxon", "left").withColumn("place", F.coalesce("place", F.col("taxon") + n_tree).cast("int"))
-    by_pos = F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"])
-    arrays = settle(renamed.groupBy("tree_id").agg(by_pos.alias("order")).join(trees.select("tree_id", "start", "mid", "end"), "tree_id"), "orders")
+    one = lambda df: df.withColumn("tree_id", F.lit(0))
+    own = settle(tree_arrays(one(order), one(nodes)).select("order", "start", "mid", "end"), "own")
     families = settle(_families(nodes), "families")
     kinds = ", ".join(f"{f}_{k} long" for k in ("high", "low") for f in ("f1", "f2", "f3", "n"))
-    block = trees_of_a_block(arrays)
-    parts = against(families, arrays.select("order", "start", "mid", "end"), _along(n_tree), f"start long, mid long, {kinds}", (FAMILIES, block))
+    block = trees_of_a_block(trees, TASKS)
+    parts = against(own, trees.select("order", "start", "mid", "end"), _along, f"start long, mid long, {kinds}", (1, block))
     total = lambda f: (F.sum(F.col(f"{f}_high").cast("decimal(28,0)")) * F.lit(2**32).cast("decimal(10,0)") + F.sum(F.col(f"{f}_low").cast("decimal(28,0)"))).cast("decimal(38,0)").alias(f)
     sums = parts.groupBy("start", "mid").agg(*map(total, ("f1", "f2", "f3", "n")))
     s, x, m, y, e = (F.col(c) for c in ("start", "left_mid", "mid", "right_mid", "end"))

@@ -12,8 +12,8 @@ from cladeworks.session import settle
 
 #: Rows of candidates and of splits that meet in one task; trees of a block whose candidates bring their members.
 BLOCK, TREES = 4096, 64
-#: Bytes of the leaf orders of a block, least number of blocks if trees are as many, and the rows that a tree's splits are dealt to.
-BLOCK_BYTES, LEAST_BLOCKS, DEALS = 1 << 27, 8, 4
+#: Bytes of the trees of a block, about; of a leaf, with a node; least number of blocks if trees are as many.
+BLOCK_BYTES, LEAF_BYTES, LEAST_BLOCKS = 1 << 26, 32, 8
 #: Questions about two trees that a task answers at a time at most.
 QUESTIONS = 500_000
 
@@ -102,6 +102,7 @@ def weights_by_order(candidates: DataFrame, trees: DataFrame) -> DataFrame:
 def tree_arrays(order: DataFrame, nodes: DataFrame) -> DataFrame:
     """tree_id, order, start, mid, end: a row for each tree, for ``weights_by_order``."""
     by_pos = F.transform(F.array_sort(F.collect_list(F.struct("pos", "taxon"))), lambda x: x["taxon"])
+    nodes = nodes.select("tree_id", *(F.col(c).cast("int").alias(c) for c in ("start", "mid", "end")))
     return order.groupBy("tree_id").agg(by_pos.alias("order")).join(spans(nodes), "tree_id").select("tree_id", "order", "start", "mid", "end")
 
 
@@ -140,44 +141,42 @@ def _ranges(one, trees):
 
     from cladeworks.operators import orders
 
-    met = [orders.Order(*arrays) for arrays in zip(*(orders.lists(trees[c]) for c in ("order", "start", "mid", "end")), strict=True)]
-    ids, found = [], []
-    for number, order, *cuts in zip(*(orders.lists(one[c]) for c in ("ids", "own", "start", "mid", "end")), strict=True):
-        bounds = np.stack(cuts, 1).astype(np.int64)
-        colours = np.broadcast_to(np.array([0, 1]), (len(bounds), 2))
-        for part, sets in orders.intervals(order, bounds, colours):
-            total = np.zeros(part.stop - part.start, np.int64)
-            for tree in met:
-                b, *_ = orders.branches(tree, sets, 2)
-                score = sum(p * q * (p + q - 2) // 2 for p, q in ((b.first[0], b.second[1]), (b.second[0], b.first[1])))
-                total += orders.totals(b.number, score, len(total))
-            ids.append(number[part])
-            found.append(total)
-    none = np.zeros(0, np.int64)
-    return pa.table({"id": pa.array(np.concatenate([none, *ids])), "part": pa.array(np.concatenate([none, *found]))})
+    met = list(zip(*(orders.lists(trees[c]) for c in ("order", "start", "mid", "end")), strict=True))
+    parts = []
+    for *arrays, wanted in zip(*(orders.lists(one[c]) for c in ("order", "start", "mid", "end", "wanted")), strict=True):
+        parts.append(orders.agreement(orders.Own(*arrays, wanted), met)[wanted])
+    cuts = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.table({"tree_id": one["tree_id"], "mid": one["wanted"], "part": pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))})
+
+
+def _added(rows):
+    """tree_id, mid, weight of one tree's splits: the sums of the blocks' parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cladeworks.operators import orders
+
+    mid = orders.lists(rows["mid"])[0]
+    return pa.table({"tree_id": pa.repeat(rows["tree_id"][0], len(mid)), "mid": pa.array(mid), "weight": pa.array(np.sum(orders.lists(rows["part"]), axis=0))})
 
 
 def weights_by_ranges(splits: DataFrame, trees: DataFrame) -> DataFrame:
     """a, b, weight of each distinct split (a, b, first) over trees (tree_id, order, start, mid, end arrays), as ``weights`` gives them.
 
-    The way for many taxa: memory is that of the trees' leaf orders. A split is an interval of the order of the first
-    tree that has it; splits of one tree travel together with its order, and meet the trees in blocks of bounded bytes.
-    A split agrees with a tree only at nodes that have leaves of it in both of their parts. These are one fewer than its
-    leaves, so it costs its own size for each tree, and a tree's splits together their sizes, not taxa times splits.
+    The way for many taxa: memory is that of the trees' leaf orders. A split is a node of the first tree that has it; trees
+    with such nodes meet all trees in blocks of bounded bytes, and a task adds up what a block gives. A split agrees with a
+    tree only at nodes that have leaves of it in both of their parts. These are one fewer than its leaves, and are told from
+    those of the node above by counting, so a tree's splits cost together their sizes for each tree, not taxa times splits.
     """
-    numbered = settle(splits.select("a", "b", "first", F.monotonically_increasing_id().alias("id")), "numbered-splits")
-    deals = F.pmod(F.xxhash64("id"), F.lit(DEALS))
-    own = numbered.groupBy(F.col("first.tree_id").alias("tree_id"), deals.alias("deal")).agg(F.array_sort(F.collect_list(F.struct("id", "first.start", "first.mid", "first.end"))).alias("s"))
-    field = lambda c: F.transform("s", lambda x: x[c])
-    one = own.join(trees.select("tree_id", F.col("order").alias("own")), "tree_id").select(field("id").alias("ids"), "own", *(field(c).alias(c) for c in ("start", "mid", "end")))
-    size = trees_of_a_block(trees)
-    parts = against(settle(one, "candidates"), trees.select("order", "start", "mid", "end"), _ranges, "id long, part long", (size, size))
-    return numbered.join(parts.groupBy("id").agg(F.sum("part").alias("weight")), "id").select("a", "b", "weight")
-
-
-def trees_of_a_block(trees: DataFrame) -> int:
-    """How many leaf orders, with the tables that tasks make of them, come to about BLOCK_BYTES; fewer if there would be few blocks."""
+    first = splits.groupBy(F.col("first.tree_id").alias("tree_id")).agg(F.array_sort(F.collect_list(F.col("first.mid").cast("int"))).alias("wanted"))
+    one = settle(first.join(trees, "tree_id").select("tree_id", "order", "start", "mid", "end", "wanted"), "candidates")
+    size, kind = trees_of_a_block(trees), dict(trees.dtypes)["tree_id"]
+    parts = against(one, trees.select("order", "start", "mid", "end"), _ranges, f"tree_id {kind}, mid array<int>, part array<long>", (size, size))
+    found = parts.groupBy("tree_id").applyInArrow(_added, f"tree_id {kind}, mid int, weight long")
+    return splits.join(found, (F.col("first.tree_id") == found["tree_id"]) & (F.col("first.mid") == found["mid"])).select("a", "b", "weight")
+
+
+def trees_of_a_block(trees: DataFrame, least: int = LEAST_BLOCKS) -> int:
+    """How many trees, by leaf orders and nodes, come to about BLOCK_BYTES; fewer if there would be fewer than ``least`` blocks."""
     n, leaves = trees.agg(F.count("*"), F.max(F.size("order"))).first()
-    leaves = max(2, leaves or 0)
-    by_bytes = BLOCK_BYTES // (leaves * 8 * (8 + leaves.bit_length()))
-    return max(1, min(by_bytes, -(-n // LEAST_BLOCKS)))
+    return max(1, min(BLOCK_BYTES // (max(2, leaves or 0) * LEAF_BYTES), -(-n // least)))
