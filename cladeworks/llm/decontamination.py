@@ -15,9 +15,6 @@ from cladeworks.session import settle
 HALF, LONG = 16, 64
 #: Dimensions of a block's latent space; power steps of the iteration.
 DIMENSIONS, STEPS = 64, 2
-#: The space is fitted to all parts of the block's items, and to passages of so many code points of this many documents
-#: at most: a bounded sample of different texts, by the hash of the text. It serves for the fit alone; all documents are searched.
-SAMPLE, SAMPLE_CHARS = 4096, 400
 #: Least cosine, in the space, of a window and an item's part to be looked at.
 LEAST_COSINE = 0.8
 #: Share of a part's words that a document must have in order; with the item's answer (its last words) as well, less will do.
@@ -185,15 +182,6 @@ def document_frequency(docs: DataFrame, blocks: list) -> DataFrame:
     return settle(found.groupBy("block", "word").agg(F.sum("n").alias("n")), "frequency")
 
 
-def sample_passages(docs: DataFrame, n_docs: int) -> DataFrame:
-    """text: a passage of each of at most SAMPLE different texts, which and where being given by hashes."""
-    share = max(1, n_docs // (4 * SAMPLE))
-    rows = texts(docs).select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(share)) == 0)
-    start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
-    cut = rows.select("h", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).groupBy("h").agg(F.first("text").alias("text"))
-    return settle(cut.orderBy("h").limit(SAMPLE).select("text"), "passages")
-
-
 def _weights(part, idf):
     """A passage's normed TF-IDF vector, as words and weights."""
     import numpy as np
@@ -203,20 +191,19 @@ def _weights(part, idf):
     return w, v / max(np.sqrt((v * v).sum()), 1e-12)
 
 
-def latent_space(spark: SparkSession, items, idf, sample: DataFrame, n_sample: int):
-    """An orthonormal basis (vocabulary x at most DIMENSIONS) of the passages' space, by randomised subspace iteration.
+def latent_space(spark: SparkSession, items, idf):
+    """An orthonormal basis (vocabulary x at most DIMENSIONS) of the space of the block's parts, by randomised subspace iteration.
 
-    Tasks hold rows of the TF-IDF matrix A, normed passages: all parts of the block, and the sampled ones over the same
-    vocabulary, which together weigh as much. Each step sums the tasks' shares of A'(A X) by word.
+    Tasks hold rows of the TF-IDF matrix A: all parts of the block, normed, weighted by how many of all documents have each
+    word. Each step sums the tasks' shares of A'(A X) by word.
     """
     import numpy as np
 
     parts, n = items.value.parts, len(items.value.number)
     k = min(DIMENSIONS, len(parts), n)
     x = np.random.default_rng(42).standard_normal((n, k)) if k else np.zeros((n, 0))
-    held = spark.sparkContext.broadcast((idf, len(parts) / max(1, n_sample)))
-    rows = spark.range(len(parts)).select("id", F.lit(None).cast("string").alias("text")).union(sample.select(F.lit(None).cast("long").alias("id"), "text"))
-    rows = rows.repartition(max(1, min(64, (len(parts) + n_sample) // 1024)))
+    held = spark.sparkContext.broadcast(idf)
+    rows = spark.range(0, len(parts), 1, max(1, min(64, len(parts) // 1024)))
     for _ in range(STEPS + 1) if k else ():
         basis = spark.sparkContext.broadcast(np.linalg.qr(x)[0])
 
@@ -224,14 +211,13 @@ def latent_space(spark: SparkSession, items, idf, sample: DataFrame, n_sample: i
             import numpy as np
             import pyarrow as pa
 
-            it, (idf, weight), b = items.value, held.value, basis.value
+            it, idf, b = items.value, held.value, basis.value
             at, values, sums = [], [], np.zeros((len(it.number), b.shape[1]))
             for batch in batches:
-                for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    numbers = it.parts[i][1] if i is not None else it.numbers(words(text.encode("utf-8", "replace")))
-                    w, v = _weights([x for x in numbers if x < len(it.number)], idf)
+                for i in batch.column("id").to_pylist():
+                    w, v = _weights(it.parts[i][1], idf)
                     at.append(w)
-                    values.append((v, (1.0 if i is not None else weight) * (v @ b[w])))
+                    values.append((v, v @ b[w]))
             for w, (v, y) in zip(at, values, strict=True):
                 sums[w] += v[:, None] * y
             seen = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
@@ -351,12 +337,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *more: str, keep_text:
     is contaminated. Repeated rows get a result each; texts of any length are searched whole; an empty table gives
     none; columns that are not named are left behind.
 
-    Candidates are windows near a part in a latent space fitted to the items and a sample of the documents; document
-    frequencies cover all documents. What such a space can't hold has an exact way: windows with as many of a part's
+    Candidates are windows near a part in a latent space fitted to all parts of a block of items; their words are weighted by
+    frequencies in all documents, and nothing is sampled. What such a space can't hold has an exact way: windows with as many of a part's
     words in a row as any copy with up to a quarter of its words missing or replaced must have are compared as well, and
     those with as many of an item's last words in a row as its answer must have. Copies that lack more than a quarter have
     such runs or such a place nearly always, not by necessity.
-    Items are looked for in blocks, of which a task holds one at a time, so texts are read three times and never
+    Items are looked for in blocks, of which a task holds one at a time, so texts are read twice and never
     written, however large the benchmark.
     """
     import numpy as np
@@ -370,14 +356,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *more: str, keep_text:
         seen = document_frequency(docs, items)
         total = seen.where("block = -1").first()
         total = total.n if total else 0
-        sample = sample_passages(docs, total)
-        n_sample = sample.count()
         for k, one in enumerate(each(items)):
             count = np.zeros(len(one.number))
             for r in seen.where(F.col("block") == k).toLocalIterator():  # at most a row for each word of the block
                 count[r.word] = r.n
             idf = np.log((total + 1) / (count + 1)) + 0.05
-            blocks.append(spark.sparkContext.broadcast(Block(one, latent_space(spark, items[k], idf, sample, n_sample), idf)))
+            blocks.append(spark.sparkContext.broadcast(Block(one, latent_space(spark, items[k], idf), idf)))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if keep_text or c != "text")
     rows = rows.mapInArrow(_search(blocks, keep_text), f"{schema}, found array<struct<item_id:bigint,common:double,cosine:double,answer:boolean>>")
     ranked = F.array_sort(F.transform("found", lambda x: F.struct((-x["common"]).alias("common"), (-x["cosine"]).alias("cosine"), x["item_id"].alias("item_id"), x["answer"].alias("answer"))))
