@@ -11,10 +11,11 @@ def test_space_of_all_items(spark, make):
     vocabulary = [f"w{i}" for i in range(300)]
     items = [" ".join(rng.choices(vocabulary, k=24)) for _ in range(90)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(40)]
     others = [[w for w in rng.choices(vocabulary, k=400)] for _ in range(30)]
 
     def cosines(fill):
-        rows = decontamination.find_benchmark(make([*items[:20], *(" ".join(x) for x in fill)]), bench).where("item_id is not null and common = 1").collect()
+        rows = decontamination.find_benchmark(make([*(f"{a} {x} {b}" for a, x, b in zip(around[::2], items[:20], around[1::2], strict=True)), *(" ".join(x) for x in fill)]), bench).where("item_id is not null and common = 1").collect()
         return {r.doc_id: round(r.cosine, 5) for r in rows if r.doc_id < 20}
 
     found = cosines(others)
