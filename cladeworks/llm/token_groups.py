@@ -352,7 +352,7 @@ def _wanted(docs: DataFrame, rows: DataFrame, ids: DataFrame, name: str) -> Data
 
 
 def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """u, v: some links; and sid, key: of each set that shares a least hash with another one the least of these. Links are found among sets that share two of their least hashes, each compared with few others.
+    """u, v: some links; and sid, key, crowd: of each set that shares a least hash with another one that which most sets have, and how many. Links are found among sets that share two of their least hashes, each compared with few others.
 
     They make one component of nearly all copies that are edited little, however many these are.
     """
@@ -368,7 +368,8 @@ def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[Dat
     partners = small(pairs, MOST, "partners").join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
     own = tokens.join(small(pairs.select(F.col("u").alias("sid")).distinct(), MOST, "firsts"), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
     links = settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
-    return links, settle(keyed.groupBy("sid").agg(F.min("key").alias("key")), "near")
+    crowds = small(keyed.groupBy("key").agg(F.count("*").alias("crowd")), MOST, "crowds")
+    return links, settle(keyed.join(crowds, "key").groupBy("sid").agg(F.max(F.struct("crowd", "key")).alias("most")).select("sid", "most.crowd", "most.key"), "near")
 
 
 def _may_link() -> Column:
@@ -428,20 +429,24 @@ def _some(bitmap):
 def _placed(sets: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
     """sid, n, root, of, g, prefix: the sets with their components so far, and their groups.
 
-    A component is cut into groups of sets of about a size. Sets that are in none go together if they share a least hash
-    (``near``: sid, key); a set without any is a group of its own. ``of`` is 1 for sets in no component, 2 for those in
-    small ones, else the component's size.
+    Large components are cut into groups of sets of about a size. Other sets go together, small components as a whole,
+    by the least hash that most sets share with them (``near``: sid, crowd, key): a family of texts that are similar but
+    not linked makes few groups. A set without any is a group of its own. ``of`` is 1 for sets in no component that
+    share no hash, 2 for others outside of large components, else the component's size.
     """
     roots = settle(components(links), "roots")
     large = small(roots.groupBy("root").agg(F.count("*").alias("of")).where(F.col("of") > GROUP), MOST, "large")
-    roots = small(roots.join(large, "root", "left").select(F.col("node").alias("sid"), "root", F.coalesce("of", F.lit(2).cast("long")).alias("of")), MOST, "members")
-    crowded = small(near.groupBy("key").agg(F.count("*").alias("crowd")).where(F.col("crowd") > GROUP), MOST, "crowded")
-    near = small(near.join(crowded, "key", "left").select("sid", "key", "crowd"), MOST, "near")
-    rows = sets.join(roots, "sid", "left").join(near, "sid", "left")
+    roots = small(roots.join(large, "root", "left").select(F.col("node").alias("sid"), "root", "of"), MOST, "members")
+    units = near.join(roots, "sid", "left").where("of is null").groupBy(F.coalesce("root", "sid").alias("unit")).agg(F.max(F.struct("crowd", "key")).alias("most"), F.count("*").alias("sets"))
+    units = settle(units.select("unit", "most.key", "sets"), "units")
+    crowded = small(units.groupBy("key").agg(F.sum("sets").alias("crowd")).where(F.col("crowd") > GROUP), MOST, "crowded")
+    units = small(units.join(crowded, "key", "left").select("unit", "key", "crowd"), MOST, "units")
+    rows = sets.join(roots, "sid", "left").withColumn("unit", F.coalesce("root", "sid")).join(units, "unit", "left")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / LEAST)))
-    deal = lambda size: F.pmod(F.xxhash64("sid"), F.ceil(F.coalesce(size, F.lit(1).cast("long")) / GROUP))
-    g = F.when(F.col("root").isNotNull(), F.xxhash64(F.lit(1), "root", band, deal(F.col("of")))).when(F.col("key").isNotNull(), F.xxhash64(F.lit(2), "key", band, deal(F.col("crowd"))))
-    return settle(rows.select("sid", "n", F.coalesce("root", "sid").alias("root"), F.coalesce("of", F.lit(1).cast("long")).alias("of"), F.coalesce(g, "sid").alias("g"), "prefix"), "placed")
+    deal = lambda of, size: F.pmod(F.xxhash64(of), F.ceil(F.coalesce(size, F.lit(1).cast("long")) / GROUP))
+    g = F.when(F.col("of").isNotNull(), F.xxhash64(F.lit(1), "root", band, deal("sid", F.col("of")))).when(F.col("key").isNotNull(), F.xxhash64(F.lit(2), "key", band, deal("unit", F.col("crowd"))))
+    of = F.coalesce("of", F.when(F.col("key").isNotNull(), F.lit(2).cast("long")), F.lit(1).cast("long"))
+    return settle(rows.select("sid", "n", F.col("unit").alias("root"), of.alias("of"), F.coalesce(g, "sid").alias("g"), "prefix"), "placed")
 
 
 def _rest(docs: DataFrame, marks: DataFrame, sets: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeworks.llm import prefix_trie, repair, token_groups
 from cladeworks.llm.catalogue import ORACLE_SQL, QUERIES
@@ -302,3 +303,27 @@ def test_frequent_tokens(monkeypatch):
         found.add(np.unique(np.concatenate([own, np.array([k for k in range(8) if i % (100 * (k + 1)) == 0], np.uint64)])))
     tokens, counts = found.often()
     assert set(range(8)) <= set(tokens.tolist()) and len(tokens) < 200 and counts[0] >= 76
+
+
+def test_groups_of_a_family(spark, monkeypatch):
+    """Similar texts that are mostly not linked stand in few groups, so that a token they share meets few groups with its sets."""
+    rng, placed = random.Random(3), []
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    data = []
+    for i in range(600):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 3)):
+            w[at] = rng.choice(vocabulary)
+        data.append((i, " ".join(w)))
+    own = token_groups._placed
+
+    def kept(*given):
+        placed.append(own(*given))
+        return placed[-1]
+
+    monkeypatch.setattr(token_groups, "_placed", kept)
+    got = token_groups.similar(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_groups(data)
+    rows = placed[0].selectExpr("g", "explode(prefix) AS token").groupBy("token").agg(F.count_distinct("g").alias("groups"))
+    assert rows.agg(F.max("groups")).first()[0] <= 3 * 600 // token_groups.GROUP  # 57 when sets took the least of their keys, and small components their roots
