@@ -356,9 +356,9 @@ def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[Dat
 
     They make one component of nearly all copies that are edited little, however many these are.
     """
-    keyed = sets.select("sid", "n", F.posexplode("minima").alias("k", "m")).select(F.xxhash64("k", "m").alias("key"), "sid", "n").distinct()
-    several = keyed.groupBy("key").agg(F.min("sid").alias("one"), F.max("sid").alias("other")).where("one <> other").select("key")
-    keyed = settle(keyed.join(several, "key", "left_semi"), "keyed")
+    keyed = settle(sets.select("sid", "n", F.posexplode("minima").alias("k", "m")).select(F.xxhash64("k", "m").alias("key"), "sid", "n").distinct(), "all-keyed")
+    several = small(keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"), MOST, "several")
+    keyed = settle(keyed.join(several, "key"), "keyed")
     hot = settle(_parts(keyed, "key"), "hot-keys")
     dealt = keyed.join(F.broadcast(hot.select("key", "parts")), "key", "left").select("key", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "n", "sid")
     anchors = hot.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "anchor.n", "anchor.sid")
@@ -368,8 +368,7 @@ def _first_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[Dat
     partners = small(pairs, MOST, "partners").join(tokens.withColumnRenamed("sid", "v"), "v").select("u", "v", "tokens")
     own = tokens.join(small(pairs.select(F.col("u").alias("sid")).distinct(), MOST, "firsts"), "sid", "left_semi").select(F.col("sid").alias("u"), F.lit(None).cast("long").alias("v"), "tokens")
     links = settle(own.unionByName(partners).repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long"), "first-links")
-    crowds = small(keyed.groupBy("key").agg(F.count("*").alias("crowd")), MOST, "crowds")
-    return links, settle(keyed.join(crowds, "key").groupBy("sid").agg(F.max(F.struct("crowd", "key")).alias("most")).select("sid", "most.crowd", "most.key"), "near")
+    return links, settle(keyed.groupBy("sid").agg(F.max(F.struct("crowd", "key")).alias("most")).select("sid", "most.crowd", "most.key"), "near")
 
 
 def _may_link() -> Column:
